@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrapane.llm import quality
+from terrapane.llm import decontam, language, pii, quality, secrets, sharding, simhash
 
-MODULES = (quality,)
+MODULES = (sharding, language, pii, decontam, secrets, simhash, quality)
 
 
 def queries() -> dict:
