@@ -112,7 +112,7 @@ class Pseudonyms:
             p = self.permuted("date", F.floor(n / 229), n % 229, 319, 229)
             return let(p, lambda q: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (q["x"] * 229 + q["y"]).cast("int")), "yyyy-MM-dd"))
 
-        return let(F.datediff(F.try_to_date(v, F.lit("yyyy-MM-dd")), F.lit(FIRST_DAY).cast("date")).cast("long"), go)
+        return let(F.datediff(F.try_to_date(v, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long"), go)
 
     def card(self, v: Column) -> Column:
         """All digits but the last are permuted; the last is the check digit."""
@@ -145,7 +145,7 @@ def kind_of(value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
         F.when(whole(EMAIL), "email").when(whole(IPV4), "ipv4").when(whole(PHONE), "phone").when(whole(SSN), "ssn")
-        .when(whole(DATE) & F.try_to_date(value, F.lit("yyyy-MM-dd")).isNotNull(), "date")
+        .when(whole(DATE) & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date")
         .when(whole(CARD) & (luhn_sum(digits) % 10 == 0), "card")
     )
 

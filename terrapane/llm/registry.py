@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrapane.llm import decontam, language, pii, quality, secrets, sharding, simhash
+from terrapane.llm import decontam, language, pii, quality, secrets, sharding, simhash, token_store, token_tree
 
-MODULES = (sharding, language, pii, decontam, secrets, simhash, quality)
+MODULES = (token_tree, sharding, language, pii, decontam, secrets, token_store, simhash, quality)
 
 
 def queries() -> dict:
