@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from terrapane.llm import decontam, language, pii, quality, secrets, sharding, simhash, token_store, token_tree
+import corpus_pipeline
+from terrapane.llm import decontam, language, pieces, pii, quality, secrets, sharding, simhash, token_store, token_tree
 
-MODULES = (token_tree, sharding, language, pii, decontam, secrets, token_store, simhash, quality)
+MODULES = (token_tree, sharding, language, pii, decontam, secrets, pieces, token_store, simhash, quality)
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    out = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
