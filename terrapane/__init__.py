@@ -1 +1,3 @@
 """Spark-first analytics over gridded embedding tiles."""
+
+__version__ = "0.1.0"

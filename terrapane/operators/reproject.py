@@ -38,30 +38,53 @@ def source_position(target: Transform, source: Transform, target_crs: str = "EPS
     return x * s + y * t + u, x * p + y * q + r
 
 
-def nearest(pixels: DataFrame, cells: DataFrame, row: Column, col: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+def nearest(pixels: DataFrame, cells: DataFrame, row: Column, col: Column, keys: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
     """Target cells with the value of the pixel that their centre lies in; others go.
 
-    ``pixels`` has py, px, value and maybe further ``keys``.
+    ``pixels`` has py, px, value and maybe further ``keys``; ``on`` are columns
+    of both sides, such as the tile.
     """
     at = cells.withColumns({"py": F.floor(row).cast("int"), "px": F.floor(col).cast("int")})
-    return at.join(pixels, ["py", "px"]).select(*keys, "row", "col", "value")
+    return at.join(pixels, [*on, "py", "px"]).select(*on, *keys, "row", "col", "value")
 
 
-def bilinear(pixels: DataFrame, cells: DataFrame, row: Column, col: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+def bilinear(pixels: DataFrame, cells: DataFrame, row: Column, col: Column, keys: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
     """Target cells with the weighted mean of the four nearest pixel centres that exist.
 
     Weights are taken anew over the neighbours at hand, so edges don't darken;
     a cell whose own centre lies outside the source goes.  Sums are decimals,
     so their order doesn't matter.
     """
-    y, x = row - F.lit(0.5), col - F.lit(0.5)
+    # a centre that meets a pixel's but for rounding takes that pixel alone: a share of 1e-12 would make data of zero
+    y, x = F.round(row - F.lit(0.5), 9), F.round(col - F.lit(0.5), 9)
     base = cells.withColumns({"__y": F.floor(y).cast("int"), "__x": F.floor(x).cast("int"), "__fy": y - F.floor(y), "__fx": x - F.floor(x), "__iy": F.floor(row).cast("int"), "__ix": F.floor(col).cast("int")})
     part = lambda dy, dx: F.struct((F.col("__y") + dy).alias("py"), (F.col("__x") + dx).alias("px"), ((F.col("__fy") if dy else 1 - F.col("__fy")) * (F.col("__fx") if dx else 1 - F.col("__fx"))).alias("w"))
-    four = base.withColumn("__n", F.explode(F.array(*(part(dy, dx) for dy in (0, 1) for dx in (0, 1))))).select("row", "col", "__iy", "__ix", "__n.py", "__n.px", "__n.w").where("w > 0")
-    met = four.join(pixels, ["py", "px"])
+    four = base.withColumn("__n", F.explode(F.array(*(part(dy, dx) for dy in (0, 1) for dx in (0, 1))))).select(*on, "row", "col", "__iy", "__ix", "__n.py", "__n.px", "__n.w").where("w > 0")
+    met = four.join(pixels, [*on, "py", "px"])
     exact = "decimal(20,12)"
-    sums = met.groupBy(*keys, "row", "col").agg(
+    sums = met.groupBy(*on, *keys, "row", "col").agg(
         F.sum((F.col("w") * F.col("value")).cast(exact)).alias("__s"), F.sum(F.col("w").cast(exact)).alias("__w"),
         F.max((F.col("py") == F.col("__iy")) & (F.col("px") == F.col("__ix"))).alias("__in"),
     )
-    return sums.where("__in").select(*keys, "row", "col", (F.col("__s").cast("double") / F.col("__w").cast("double")).alias("value"))
+    return sums.where("__in").select(*on, *keys, "row", "col", (F.col("__s").cast("double") / F.col("__w").cast("double")).alias("value"))
+
+
+def tile_cells(tiles: DataFrame, target: Transform, height: int, width: int, target_crs: str, source_crs: str) -> DataFrame:
+    """Target cells that each tile can reach, with the source position of their centres.
+
+    ``tiles`` has a tile's own transform (a, c, e, f of a north-up raster) and its
+    height and width, all in one system.  The outline's eight points are mapped
+    forward to a window of the target, whose cells are generated tile by tile and
+    mapped back.  Adds row, col, __row and __col.
+    """
+    go = systems.between(source_crs, target_crs)
+    x = [F.col("c") + F.col("a") * F.col("tile_w") * k for k in (0.0, 0.5, 1.0)]
+    y = [F.col("f") + F.col("e") * F.col("tile_h") * k for k in (0.0, 0.5, 1.0)]
+    outline = [go(p, q) for i, p in enumerate(x) for j, q in enumerate(y) if (i, j) != (1, 1)]
+    a, _, c, _, e, f = target
+    cols, rows = [(p - c) / a for p, _ in outline], [(q - f) / e for _, q in outline]
+    span = lambda v, most: F.sequence(F.greatest(F.lit(0), F.floor(F.least(*v)).cast("int") - 1), F.least(F.lit(most - 1), F.floor(F.greatest(*v)).cast("int") + 1))
+    some = (F.greatest(*cols) >= 0) & (F.least(*cols) < width) & (F.greatest(*rows) >= 0) & (F.least(*rows) < height)
+    cells = tiles.where(some).withColumn("row", F.explode(span(rows, height))).withColumn("col", F.explode(span(cols, width)))
+    px, py = systems.between(target_crs, source_crs)((F.col("col") + 0.5) * a + c, (F.col("row") + 0.5) * e + f)
+    return cells.withColumns({"__row": (py - F.col("f")) / F.col("e"), "__col": (px - F.col("c")) / F.col("a")})

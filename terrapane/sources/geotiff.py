@@ -59,13 +59,13 @@ def lzw_encode(data: bytes) -> bytes:
             put(256)
             table = {bytes([i]): i for i in range(256)}
             bits, code = 9, 258
-        elif code + 1 >= 1 << bits:
+        elif code >= 1 << bits:
             bits += 1
         w = c
     if w:
         put(table[w])
         code += 1
-        if code + 1 >= 1 << bits and bits < 12:
+        if code >= 1 << bits and bits < 12:
             bits += 1
     put(257)
     if held:
@@ -227,7 +227,7 @@ def decode(data: bytes) -> tuple[np.ndarray, Meta]:
 META = "path string, width int, height int, bands int, dtype string, transform array<double>, crs string, bounds array<double>"
 
 
-def read_meta(spark: SparkSession, root: str) -> DataFrame:
+def read_meta(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """A row for each file's header."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(root)
 
@@ -242,7 +242,7 @@ def read_meta(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, META)
 
 
-def read_pixels(spark: SparkSession, root: str) -> DataFrame:
+def read_pixels(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """path, band, py, px and value of every pixel."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(root)
 

@@ -41,7 +41,7 @@ def encode(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def read_pixels(spark: SparkSession, root: str, tiles: DataFrame | None = None, bands: Sequence[int] | None = None, dequantize: bool = False) -> DataFrame:
+def read_pixels(spark: SparkSession, root: str | list[str], tiles: DataFrame | None = None, bands: Sequence[int] | None = None, dequantize: bool = False) -> DataFrame:
     """year, lon_c, lat_c, py, px and the chosen bands of all tiles below ``root``, or of ``tiles`` alone.
 
     Without ``dequantize``: q array<int> and scale; with it: embedding

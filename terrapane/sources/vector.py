@@ -18,9 +18,13 @@ FEATURES = "struct<features:array<struct<id:string,geometry:string,properties:ma
 POLYGON, MULTI = "struct<coordinates:array<array<array<double>>>>", "struct<coordinates:array<array<array<array<double>>>>>"
 
 
+def _point(x: Column, y: Column) -> Column:
+    return F.named_struct(F.lit("x"), x, F.lit("y"), y)
+
+
 def rings_of(geo: Column) -> Column:
     """Rings of a GeoJSON geometry in text; null for other kinds."""
-    points = lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    points = lambda r: F.transform(r, lambda p: _point(F.get(p, 0), F.get(p, 1)))
     kind = F.get_json_object(geo, "$.type")
     one = F.transform(F.from_json(geo, POLYGON)["coordinates"], points)
     many = F.transform(F.flatten(F.from_json(geo, MULTI)["coordinates"]), points)
@@ -46,11 +50,11 @@ def parse_topojson(texts: DataFrame, column: str = "value") -> DataFrame:
     scale, move = t["transform"]["scale"], t["transform"]["translate"]
 
     def points(arc: Column) -> Column:
-        raw = F.transform(arc, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
-        step = lambda acc, p: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["x"] + p["x"]).alias("x"), (F.element_at(acc, -1)["y"] + p["y"]).alias("y"))))
-        zero = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+        raw = F.transform(arc, lambda p: _point(F.get(p, 0), F.get(p, 1)))
+        step = lambda acc, p: F.concat(acc, F.array(_point(F.element_at(acc, -1)["x"] + p["x"], F.element_at(acc, -1)["y"] + p["y"])))
+        zero = F.array(_point(F.lit(0.0), F.lit(0.0)))
         summed = F.aggregate(raw, zero, step)
-        placed = F.transform(F.slice(summed, F.lit(2), F.size(arc)), lambda p: F.struct((p["x"] * F.get(scale, 0) + F.get(move, 0)).alias("x"), (p["y"] * F.get(scale, 1) + F.get(move, 1)).alias("y")))
+        placed = F.transform(F.slice(summed, F.lit(2), F.size(arc)), lambda p: _point(p["x"] * F.get(scale, 0) + F.get(move, 0), p["y"] * F.get(scale, 1) + F.get(move, 1)))
         return F.when(scale.isNull(), raw).otherwise(placed)
 
     rows = texts.select(F.transform(t["arcs"], points).alias("arcs"), F.explode(F.map_values(t["objects"])).alias("o"))
@@ -66,14 +70,14 @@ def parse_topojson(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Features of GeoJSON or TopoJSON files, each as its own type says."""
-    texts = spark.read.option("wholetext", "true").text(path)
+    texts = spark.read.text(path, wholetext=True)
     kind = F.get_json_object("value", "$.type")
     return parse_geojson(texts.where(kind != "Topology")).unionByName(parse_topojson(texts.where(kind == "Topology")))
 
 
 def read_raw(spark: SparkSession, path: str) -> dict:
     """One file's JSON as it stands, for serving."""
-    return json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def total_bounds(features: DataFrame) -> DataFrame:
