@@ -21,6 +21,7 @@ the query and kept by ``deduplicated``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -67,7 +68,7 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
         for k in range(words):
             if k:
                 h = _mixed(h)
-            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
     return np.packbits(2 * ones > n, axis=1).tobytes()
 
 
@@ -117,58 +118,72 @@ def _keyed(tables: list[tuple[tuple[int, int], ...]]):
                 continue
             f = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
             for k in keys(f):
-                yield pa.RecordBatch.from_arrays([pa.array(k), col], names=["key", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), b.column("node"), col], names=["key", "node", "f"])
 
     return run
 
 
-def _forest(key: np.ndarray, f: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between rows of equal keys; rows are sorted by key."""
-    n = len(key)
+def _forest(group: np.ndarray, f: np.ndarray, distances: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Spanning forest of the links between rows of equal groups; rows are sorted by group.
+
+    Distances are taken one after another, so closer pairs are linked first.
+    Pairs are compared by their offset: all rows with the next, the one after
+    that, and so on while groups are that large.
+    """
+    n = len(group)
     root = np.arange(n)
     out: list[tuple[int, int]] = []
-    at, step = np.arange(n), 1
-    while True:
-        at = at[at + step < n]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            return out
-        far = np.zeros(len(at), np.uint16)
-        for k in range(f.shape[1]):
-            far += np.bitwise_count(f[at, k] ^ f[at + step, k])
-        a = at[far <= distance]
-        a = a[root[a] != root[a + step]]
-        if len(a):
-            parent: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (p := parent.get(x, x)) != x:
-                    parent[x] = parent.get(p, p)
-                    x = p
-                return x
-
-            for x in a.tolist():
-                p, q = find(int(root[x])), find(int(root[x + step]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((x, x + step))
-            if parent:
-                renamed = np.arange(n)
-                for x in list(parent):
-                    renamed[x] = find(x)
-                root = renamed[root]
-        step += 1
-
-
-def _linked(distance: int):
+    for distance in distances:
+        at, step = np.arange(n), 1
+        while True:
+            at = at[at + step < n]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            far = np.zeros(len(at), np.uint16)
+            for k in range(f.shape[1]):
+                far += np.bitwise_count(f[at, k] ^ f[at + step, k])
+            a = at[far <= distance]
+            a = a[root[a] != root[a + step]]
+            if len(a):
+                root = _joined(root, a, step, out)
+            step += 1
+    return out
+
+
+def _joined(root: np.ndarray, a: np.ndarray, step: int, out: list[tuple[int, int]]) -> np.ndarray:
+    """Roots after linking each of ``a`` with the row ``step`` behind; links that join are kept in ``out``."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    for x in a.tolist():
+        p, q = find(int(root[x])), find(int(root[x + step]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, x + step))
+    renamed = np.arange(len(root))
+    for x in list(parent):
+        renamed[x] = find(x)
+    return renamed[root]
+
+
+def _linked(distances: tuple[int, ...]):
     def forest(rows: pa.Table) -> pa.RecordBatch | None:
         raw = rows.column("f").to_pylist()
         f = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1).astype(np.uint64)
         # one number for each group: rows are sorted by key, i, j
         k = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
         group = np.concatenate(([0], np.cumsum((k[:, 1:] != k[:, :-1]).any(0))))
-        pairs = _forest(group, f, distance)
-        return pa.RecordBatch.from_arrays([pa.array([raw[a] for a, _ in pairs], pa.binary()), pa.array([raw[b] for _, b in pairs], pa.binary())], names=["u", "v"]) if pairs else None
+        pairs = _forest(group, f, distances)
+        if not pairs:
+            return None
+        node = rows.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array([p[side] for p in pairs])) for side in (0, 1)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -188,28 +203,75 @@ def _linked(distance: int):
     return run
 
 
-def links(classes: DataFrame, tables: list[tuple[tuple[int, int], ...]], distance: int) -> DataFrame:
-    """Links (u, v) that join what is within ``distance`` among the fingerprints ``f``."""
-    keyed = classes.select("f").mapInArrow(_keyed(tables), "key long, f binary")
+def links(nodes: DataFrame, tables: list[tuple[tuple[int, int], ...]], *distances: int) -> DataFrame:
+    """Links (u, v) that join what is within the last distance among ``nodes`` (node, f), closer ones first."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    keyed = nodes.select("node", "f").mapInArrow(_keyed(tables), f"key long, node {kind}, f binary")
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("chunks"))
-    dealt = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("f"), "chunks"), F.lit(0)).cast("int"))
+    dealt = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    rows = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "f")
+    rows = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "node", "f")
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(_linked(distance), "u binary, v binary")
+    return met.mapInArrow(_linked(distances), f"u {kind}, v {kind}")
 
 
-def grouped(rows: DataFrame, distance: int, tables: list | None = None) -> DataFrame:
-    """f and component (least struct (doc_id, h) it reaches) of every fingerprint.
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; fewer words make one."""
+    parts = text.encode().translate(_LOWER).split() if text else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[i : i + shingle]), SEED) for i in range(max(1, len(parts) - shingle + 1))], np.uint64))
 
-    Without ``tables``, those that find every pair within ``distance``.
+
+def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingles are at least so similar (Jaccard), by the texts themselves.
+
+    ``nodes`` has node and the row (doc_id, h) that stands for it.  Only texts
+    that some link needs are taken apart.
     """
-    classes = staged(rows.groupBy("f").agg(F.min(F.struct("doc_id", "h")).alias("first")))
-    found = links(classes, tables or exact_tables(classes.count(), distance), distance)
+    links_ = staged(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = links_.select(F.col("u").alias("node")).union(links_.select("v")).distinct()
+    rows = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t, shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "s"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    made = staged(texts.mapInArrow(sets, f"node {kind}, s binary"))
+    at = lambda side: made.select(F.col("node").alias(side), F.col("s").alias(f"s{side}"))
+    return links_.join(at("u"), "u").join(at("v"), "v").select("u", "v", "su", "sv").mapInArrow(alike, f"u {kind}, v {kind}")
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """f and its least struct (doc_id, h) of every different fingerprint."""
+    return staged(rows.groupBy("f").agg(F.min(F.struct("doc_id", "h")).alias("first")))
+
+
+def named(classes: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """f and component (least struct (doc_id, h) that it reaches) of every class."""
     roots = components(found)
-    named = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("component"))
-    return named.join(firsts, "root").select("f", "component")
+    rooted = staged(classes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)))
+    # written, so that a large component is summed map-side first and isn't dealt out by its root
+    firsts = staged(rooted.groupBy("root").agg(F.min("first").alias("component")))
+    return rooted.join(firsts, "root").select("f", "component")
+
+
+def grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """Components of ``rows`` under all links within ``distance`` of the whole fingerprint."""
+    classes = classes_of(rows)
+    found = links(classes.select(F.col("f").alias("node"), "f"), exact_tables(classes.count(), distance), distance)
+    return named(classes, found, "f")
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,20 +281,43 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "f").select("doc_id", F.lower(F.hex("f")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, words: int = 4, blocks: int = 20, distance: int = 40) -> DataFrame:
+#: Of the stage's fingerprint: its words, the blocks and their bits.
+WIDE, BLOCKS, BLOCK_BITS = 5, 24, 13
+
+
+def bits_for(similarity: float, bits: int, spread: float = 0.0) -> int:
+    """Bits in which two texts of this similarity (Jaccard) differ, and so many standard deviations more.
+
+    Sets of equal size with similarity j have the cosine c = 2 j / (1 + j), and
+    each bit differs with the chance arccos(c) / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def near_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Components of ``rows`` (fingerprints of ``docs``) under links at ``similarity`` or more."""
+    classes = staged(classes_of(rows).withColumn("node", F.xxhash64("f")))
+    steps = [bits_for(similarity + (1 - similarity) * k / 4, 64 * WIDE) for k in (3, 2, 1, 0)] + [bits_for(similarity, 64 * WIDE, s) for s in (1.25, 2.5)]
+    found = links(classes.select("node", "f"), block_tables(BLOCKS, BLOCKS * BLOCK_BITS), *steps)
+    sure = confirmed(found, classes, docs, shingle, similarity)
+    return named(classes, sure, "node")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of least doc_id.
 
-    Fingerprints of 256 bits over 5-word shingles: at a similarity (Jaccard) of
-    0.8 two texts differ in 39 bits on average and by 6 up or down, so 40 bits
-    is where about half of the pairs at 0.8 are caught and nearly all at 0.9;
-    unrelated texts differ in 128.  Buckets are 20 blocks of 12 or 13 bits: a
-    pair with fewer than 20 differing bits shares one for sure, a pair at 0.9
-    with a chance of 0.99.
+    64 bits can't tell a similarity of 0.8 (ten differing bits, give or take
+    three), so fingerprints here have 320.  Blocks are 24 of 13 bits: a pair at
+    0.8 shares one with a chance of 0.95, at 0.9 of 0.999, copies for sure.
+    Within buckets the Hamming distance picks candidates, up to 2.5 standard
+    deviations beyond what 0.8 gives and closest first, and each link is then
+    confirmed on the two texts' shingles.
     """
-    rows = staged(fingerprints(docs, shingle, words))
-    groups = grouped(rows, distance, block_tables(blocks, 64 * words))
-    named = rows.join(groups, "f").select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
-    keys = staged(named.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")))
+    rows = staged(fingerprints(docs, shingle, WIDE))
+    groups = near_groups(rows, docs, shingle, similarity)
+    marked = rows.join(groups, "f").select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
+    keys = staged(marked.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")))
     gone = keys.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
     kept = docs.join(gone, same, "left_anti")

@@ -317,7 +317,7 @@ def test_every_design_of_blocks_finds_every_pair(spark, monkeypatch):
     seeds = rng.integers(0, 1 << 63, 60, np.uint64)
     near = [s ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for s in seeds for n in (1, 3, 4, 4, 5)]
     vals = sorted({int(x) for x in [*seeds, *near]})
-    df = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in vals], "f binary")
+    df = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) * 2 for v in vals], "node binary, f binary")
     want = {frozenset((a, b)) for k, a in enumerate(vals) for b in vals[:k] if (a ^ b).bit_count() <= 4}
 
     def classes(pairs):
@@ -357,6 +357,30 @@ def test_near_dedup_stage(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4, 5] and out.columns == d.columns
 
 
+def test_near_groups_are_those_of_exact_similarity(spark, sf):
+    """Components of the stage against all pairs of texts that share a shingle."""
+    t = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    rng = np.random.default_rng(8)
+    for k, i in enumerate(list(t)[:40]):  # copies with one word in forty or so changed
+        w = t[i].split(" ")
+        for p in rng.choice(len(w), max(1, len(w) // int(rng.integers(30, 90))), replace=False):
+            w[p] = f"edit{p}"
+        t[1000 + k] = " ".join(w)
+    sets = {i: set(simhash.shingles(x, 5).tolist()) for i, x in t.items()}
+    root = {i: i for i in t}
+    find = lambda x: x if root[x] == x else find(root[x])
+    ids = sorted(t)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in ids if find(i) == i}
+    got = {r["doc_id"] for r in simhash.deduplicated(docs(spark, [(i, x, "en", "a") for i, x in t.items()])).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
 def test_token_tree(spark, tmp_path, sf):
     counter = token_tree.Counter.of(public_tokenizers.path(token_tree.VOCABULARY))
     full = lambda t: len(counter.encoding.encode_ordinary(t))
