@@ -91,6 +91,5 @@ def normalized_globally(rows: DataFrame) -> DataFrame:
 
 def visible(rows: DataFrame, column: str = "value") -> DataFrame:
     """0/1 masks become 0/255; other value ranges stay."""
-    ends = rows.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
-    binary = (F.col("__low") >= 0) & (F.col("__high") <= 1)
-    return rows.join(F.broadcast(ends)).withColumn(column, F.when(binary, F.col(column) * 255).otherwise(F.col(column))).drop("__low", "__high")
+    binary = rows.agg((F.min(column) >= 0) & (F.max(column) <= 1)).scalar()
+    return rows.withColumn(column, F.when(binary, F.col(column) * 255).otherwise(F.col(column)))

@@ -120,8 +120,7 @@ def years(tiles: DataFrame) -> DataFrame:
     """Years at hand in order; the usual ones for an empty catalogue."""
     found = tiles.select("year").distinct()
     usual = tiles.sparkSession.range(YEARS.start, YEARS.stop).select(F.col("id").cast("int").alias("year"))
-    empty = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    return found.union(usual.join(F.broadcast(empty)).select("year")).orderBy("year")
+    return found.union(usual.where(found.agg(F.count(F.lit(1))).scalar() == 0)).orderBy("year")
 
 
 def coverage(tiles: DataFrame) -> DataFrame:
@@ -130,8 +129,7 @@ def coverage(tiles: DataFrame) -> DataFrame:
 
 def counts(tiles: DataFrame, masks: DataFrame) -> DataFrame:
     """n_embeddings and n_masks in one row."""
-    one = tiles.agg(F.count(F.lit(1)).alias("n_embeddings"))
-    return one.join(F.broadcast(masks.agg(F.count(F.lit(1)).alias("n_masks"))))
+    return tiles.agg(F.count(F.lit(1)).alias("n_embeddings")).withColumn("n_masks", masks.agg(F.count(F.lit(1))).scalar())
 
 
 def listed(tiles: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("year", "lat_c", "lon_c")) -> DataFrame:
@@ -141,11 +139,11 @@ def listed(tiles: DataFrame, limit: int | None = None, order: tuple[str, ...] =
     """
     if limit is not None and limit < 0:
         raise ValueError("the limit is negative")
-    total = tiles.agg(F.count(F.lit(1)).alias("__n"))
     first = tiles.orderBy(*order)
-    first = first.limit(limit) if limit else first
-    left = F.greatest(F.col("__n") - F.lit(limit), F.lit(0)) if limit else F.lit(0)
-    return first.join(F.broadcast(total)).withColumn("remaining", left.cast("long")).drop("__n")
+    if not limit:
+        return first.withColumn("remaining", F.lit(0).cast("long"))
+    total = tiles.agg(F.count(F.lit(1))).scalar()
+    return first.limit(limit).withColumn("remaining", F.greatest(total - F.lit(limit), F.lit(0)).cast("long"))
 
 
 def grouped_by_block(tiles: DataFrame, *keys: str) -> DataFrame:
