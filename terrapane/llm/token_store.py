@@ -69,6 +69,13 @@ _ATOMS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+
 _SURE = re.compile("(?= [!-~¡-ᙿ])")
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in byte-level BPE: itself if it prints, else the next one from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: b if b in shown else next(rest) for b in range(256)}
+
+
 class Memory:
     """Ids of pieces, of which the last used ``most`` at least and twice as many at most are kept."""
 
@@ -104,6 +111,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16 or sys.byteorder == "big"
         self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.known = Memory(REMEMBERED)
 
     @classmethod
@@ -113,19 +121,30 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _plainly(self, texts: list[str]) -> list[bytes]:
+    def _stored(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes() if self.wide else array("H", ids).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids by the whole tokenizer."""
         out: list[bytes] = []
         for at in range(0, len(texts), 4096):  # encodings take far more memory than ids
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, self.dtype).tobytes() if self.wide else array("H", e.ids).tobytes() for e in found]
+            out += [self._stored(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one pre-token each, by its model alone."""
+        tokenize = self.model.tokenize
+        return [self._stored([t.id for t in tokenize(p.encode().decode("latin1").translate(self.signs))]) for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        cut = [_SURE.split(t) if "|>" in t or _UNSURE.search(t) else _ATOMS.findall(t) for t in texts]
+        odd = ["|>" in t or _UNSURE.search(t) is not None for t in texts]
+        cut = [_SURE.split(t) if o else _ATOMS.findall(t) for t, o in zip(texts, odd)]
         found = list(map(self.known.find, cut))
-        new = list({pieces[k] for pieces, (_, gaps) in zip(cut, found) for k in gaps})
-        made = dict(zip(new, self._plainly(new)))
+        made: dict[str, bytes] = {}
+        for kind, learn in ((False, self._merged), (True, self._whole)):
+            new = list({pieces[k] for pieces, (_, gaps), o in zip(cut, found, odd) if o is kind for k in gaps if pieces[k] not in made})
+            made.update(zip(new, learn(new)))
         for pieces, (ids, gaps) in zip(cut, found):
             for k in gaps:
                 ids[k] = made[pieces[k]]
