@@ -5,7 +5,9 @@ no letter is a space), weighted by TF-IDF and normalised.  Each language has
 several centroids, found by spherical k-means on its labelled texts; a text gets
 the language of the centroid with the greatest cosine.  A text is rejected when
 it is farther from its centroid than nearly all training texts of the language
-are from theirs: under the ``reject_quantile`` of their cosines, less ``slack``.
+are from theirs: under the ``reject_quantile`` of their cosines, less ``slack``, and
+under ``ceiling`` in any case, so that texts of a very even training set don't
+make a rule of its evenness.
 
 The fit takes at most ``train_rows`` labelled rows, picked by a hash over all of
 them and evenly over the languages; their vectors (not texts) come to the
@@ -115,7 +117,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quantile: float = 0.001, slack: float = 0.1) -> Model:
+def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quantile: float = 0.001, slack: float = 0.1, ceiling: float = 0.5) -> Model:
     """Learn from ``text`` and non-null ``lang`` of at most ``train_rows`` rows of ``docs``."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quan
         c = _clusters(x[y == k], centroids)
         parts.append(c)
         owner += [k] * len(c)
-        least.append(float(np.quantile((x[y == k] @ c.T).max(1), reject_quantile)) - slack)
+        least.append(min(ceiling, float(np.quantile((x[y == k] @ c.T).max(1), reject_quantile)) - slack))
     model.centroids, model.owner, model.least = np.concatenate(parts).astype(np.float32), np.array(owner), np.array(least, np.float32)
     return model
 
