@@ -207,10 +207,14 @@ def links(nodes: DataFrame, tables: list[tuple[tuple[int, int], ...]], *distance
     """Links (u, v) that join what is within the last distance among ``nodes`` (node, f), closer ones first."""
     kind = nodes.schema["node"].dataType.simpleString()
     keyed = nodes.select("node", "f").mapInArrow(_keyed(tables), f"key long, node {kind}, f binary")
-    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("chunks"))
-    dealt = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    rows = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "node", "f")
+    # written, so that its size is known and the keyed rows are dealt out once
+    hot = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("chunks")))
+    if hot.isEmpty():
+        rows = keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "f")
+    else:
+        dealt = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+        rows = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "node", "f")
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return met.mapInArrow(_linked(distances), f"u {kind}, v {kind}")
 
