@@ -7,7 +7,7 @@ next one's ``docs``:
 1. ``language``: rows that language ID rejects go; the model learns from the
    input's own labels, without the held-out third.
 2. ``near_dedup``: one row of each group of near copies stays (5-word shingles,
-   an estimated similarity of 0.8 or more).
+   a similarity of 0.8 or more).
 3. ``decontaminate``: benchmark passages (10 words or more) are cut out; rows
    that are mostly such passages go.
 4. ``secrets``: secrets are masked.

@@ -95,12 +95,6 @@ def exact_tables(fingerprints_: int, distance: int, bits: int = 64) -> list[tupl
     raise AssertionError
 
 
-def block_tables(blocks: int, bits: int) -> list[tuple[tuple[int, int], ...]]:
-    """One table for each of ``blocks`` blocks: shares a bucket for sure under ``blocks`` differing bits."""
-    cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
-    return [((s, e),) for s, e in zip(cuts, cuts[1:])]
-
-
 def _keyed(tables: list[tuple[tuple[int, int], ...]]):
     def keys(f: np.ndarray) -> Iterator[np.ndarray]:
         bits = np.unpackbits(f, axis=1)
@@ -172,51 +166,67 @@ def _joined(root: np.ndarray, a: np.ndarray, step: int, out: list[tuple[int, int
     return renamed[root]
 
 
+def _groups(rows: pa.Table) -> np.ndarray:
+    """One number for each group: rows are sorted by key, i, j."""
+    k = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+    return np.concatenate(([0], np.cumsum((k[:, 1:] != k[:, :-1]).any(0))))
+
+
+def _maps(rows: pa.Table) -> np.ndarray:
+    raw = rows.column("f").to_pylist()
+    return np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1).astype(np.uint64)
+
+
+def _ends(rows: pa.Table, pairs: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    if not pairs:
+        return None
+    node = rows.column("node").combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array([p[side] for p in pairs])) for side in (0, 1)], names=["u", "v"])
+
+
 def _linked(distances: tuple[int, ...]):
-    def forest(rows: pa.Table) -> pa.RecordBatch | None:
-        raw = rows.column("f").to_pylist()
-        f = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1).astype(np.uint64)
-        # one number for each group: rows are sorted by key, i, j
-        k = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-        group = np.concatenate(([0], np.cumsum((k[:, 1:] != k[:, :-1]).any(0))))
-        pairs = _forest(group, f, distances)
-        if not pairs:
-            return None
-        node = rows.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array([p[side] for p in pairs])) for side in (0, 1)], names=["u", "v"])
+    return _by_group(lambda rows: _ends(rows, _forest(_groups(rows), _maps(rows), distances)))
+
+
+def _by_group(work):
+    """``work`` over whole groups of rows, a batch's groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
             rows = pa.Table.from_batches([b])
             held = rows if held is None else pa.concat_tables([held, rows])
-            k = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
-            new = np.nonzero((k[:, 1:] != k[:, :-1]).any(0))[0]
+            new = np.nonzero(np.diff(_groups(held)))[0] if held.num_rows else []
             if len(new):  # the last group may go on in the next batch
                 cut = int(new[-1]) + 1
-                if (found := forest(held.slice(0, cut))) is not None:
+                if (found := work(held.slice(0, cut))) is not None:
                     yield found
                 held = held.slice(cut)
-        if held is not None and held.num_rows and (found := forest(held)) is not None:
+        if held is not None and held.num_rows and (found := work(held)) is not None:
             yield found
 
     return run
 
 
-def links(nodes: DataFrame, tables: list[tuple[tuple[int, int], ...]], *distances: int) -> DataFrame:
-    """Links (u, v) that join what is within the last distance among ``nodes`` (node, f), closer ones first."""
-    kind = nodes.schema["node"].dataType.simpleString()
-    keyed = nodes.select("node", "f").mapInArrow(_keyed(tables), f"key long, node {kind}, f binary")
+def dealt(keyed: DataFrame) -> DataFrame:
+    """``keyed`` by key, in sorted groups (key, i, j): pairs of chunks where a key has over ``SPLIT`` rows."""
+    columns = [c for c in keyed.columns if c != "key"]
     # written, so that its size is known and the keyed rows are dealt out once
     hot = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("key", F.ceil(F.col("c") / SPLIT).cast("int").alias("chunks")))
     if hot.isEmpty():
-        rows = keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "f")
+        rows = keyed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
     else:
-        dealt = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        rows = dealt.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "node", "f")
-    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(_linked(distances), f"u {kind}, v {kind}")
+        rows = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+        rows = rows.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def links(nodes: DataFrame, tables: list[tuple[tuple[int, int], ...]], *distances: int) -> DataFrame:
+    """Links (u, v) that join what is within the last distance among ``nodes`` (node, f), closer ones first."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    keyed = nodes.select("node", "f").mapInArrow(_keyed(tables), f"key long, node {kind}, f binary")
+    return dealt(keyed).mapInArrow(_linked(distances), f"u {kind}, v {kind}")
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -226,49 +236,18 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(parts[i : i + shingle]), SEED) for i in range(max(1, len(parts) - shingle + 1))], np.uint64))
 
 
-def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts' shingles are at least so similar (Jaccard), by the texts themselves.
-
-    ``nodes`` has node and the row (doc_id, h) that stands for it.  Only texts
-    that some link needs are taken apart.
-    """
-    links_ = staged(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ends = links_.select(F.col("u").alias("node")).union(links_.select("v")).distinct()
-    rows = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t, shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "s"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    made = staged(texts.mapInArrow(sets, f"node {kind}, s binary"))
-    at = lambda side: made.select(F.col("node").alias(side), F.col("s").alias(f"s{side}"))
-    return links_.join(at("u"), "u").join(at("v"), "v").select("u", "v", "su", "sv").mapInArrow(alike, f"u {kind}, v {kind}")
-
-
 def classes_of(rows: DataFrame) -> DataFrame:
     """f and its least struct (doc_id, h) of every different fingerprint."""
     return staged(rows.groupBy("f").agg(F.min(F.struct("doc_id", "h")).alias("first")))
 
 
 def named(classes: DataFrame, found: DataFrame, node: str) -> DataFrame:
-    """f and component (least struct (doc_id, h) that it reaches) of every class."""
+    """``node`` and component (least struct (doc_id, h) that it reaches) of every class."""
     roots = components(found)
     rooted = staged(classes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)))
     # written, so that a large component is summed map-side first and isn't dealt out by its root
     firsts = staged(rooted.groupBy("root").agg(F.min("first").alias("component")))
-    return rooted.join(firsts, "root").select("f", "component")
+    return rooted.join(firsts, "root").select(node, "component")
 
 
 def grouped(rows: DataFrame, distance: int) -> DataFrame:
@@ -285,42 +264,208 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "f").select("doc_id", F.lower(F.hex("f")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-#: Of the stage's fingerprint: its words, the blocks and their bits.
-WIDE, BLOCKS, BLOCK_BITS = 5, 24, 13
+#: Bits of a set's parity map; documents looked at for common shingles, and in how many of them one is common.
+PARITY, LOOKED_AT, COMMON = 512, 10_000, 4
+#: Shares of the greatest distance at which links are tried, closest first.
+STEPS = (0.4, 0.7, 1.0)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of the set's hashes falls on each bit.
+
+    Two maps differ in at most as many bits as the sets have shingles that only
+    one of them holds, so what they rule out is ruled out for sure.
+    """
+    return np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def prefix(s: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, so many that each set at ``similarity`` has one of its own first ones among them.
+
+    A partner shares at least similarity * n of n shingles.  The order is the
+    same for all sets: by hash, and ``common`` ones (sorted, with ranks) last.
+    """
+    k = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+    if not len(common):
+        return s[:k]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    last = common[at] == s
+    rare = s[~last][:k]
+    return rare if len(rare) == k else np.concatenate((rare, s[last][np.argsort(rank[at[last]])][: k - len(rare)]))
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts share, and their ranks, rarer ones first.
+
+    They come from a bounded sample of different texts.  What it misses costs
+    time and no link: any order of the shingles finds the same pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s, c = np.unique(np.concatenate([shingles(t.as_py(), shingle) for t in b.column("text")]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
+
+    share = min(1_000_000, math.ceil(LOOKED_AT * 1e6 / max(1, docs.count())))
+    picked = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1_000_000)) < share).dropDuplicates(["h"]).select("text")
+    found = picked.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).toArrow()
+    s, c = found.column("s").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    by_count = np.lexsort((s, c))
+    rank = np.empty(len(s), np.int64)
+    rank[by_count] = np.arange(len(s))
+    order = np.argsort(s)
+    return s[order], rank[order]
+
+
+def shingled(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of its shingle set), n (its size), f (parity map) and keys (prefix) of every row."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    names = ["node", "n", "f", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, f, keys = [], [], [], []
+            for t in b.column("text"):
+                s = shingles(t.as_py(), shingle)
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                n.append(len(s))
+                f.append(parity(s))
+                keys.append(prefix(s, similarity, *common.value).tobytes())
+            made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *made], names=["doc_id", "h", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, node long, n int, f binary, keys binary")
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """(key, node, n, f) for each shingle of a prefix that more than one class has in its own."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("keys").to_pylist()
+            node = np.repeat(b.column("node").to_numpy(), [len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node)], names=["key", "node"])
 
-def bits_for(similarity: float, bits: int, spread: float = 0.0) -> int:
-    """Bits in which two texts of this similarity (Jaccard) differ, and so many standard deviations more.
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, met = np.empty(0, np.int64), np.empty(0, np.int64), False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = np.concatenate((key, b.column("key").to_numpy())), np.concatenate((node, b.column("node").to_numpy()))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate(([met], same))[:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(node[:-1][keep])], names=["key", "node"])
+            # the last row may have its like in the next batch
+            met = bool(same[-1]) if len(same) else False
+            key, node = key[-1:], node[-1:]
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    Sets of equal size with similarity j have the cosine c = 2 j / (1 + j), and
-    each bit differs with the chance arccos(c) / pi.
+    keyed = classes.select("node", "keys").mapInArrow(each, "key long, node long").repartition("key").sortWithinPartitions("key")
+    return staged(keyed.mapInArrow(shared, "key long, node long")).join(classes.select("node", "n", "f"), "node")
+
+
+def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> list[tuple[int, int]]:
+    """Pairs of rows of equal groups that sizes and parity maps let be similar.
+
+    A spanning forest of them, closest first, or ``every`` pair of different labels.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+    root = np.arange(len(group))
+    out: list[tuple[int, int]] = []
+    for share in (1.0,) if every else STEPS:
+        at, step = np.arange(len(group)), 1
+        while True:
+            at = at[at + step < len(group)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            a = at[label[at] != label[at + step]]
+            a = a[root[a] != root[a + step]]
+            x, y = n[a], n[a + step]
+            fits = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+            a, most = a[fits], (share * (1 - similarity) / (1 + similarity) * (x + y) + 1e-6)[fits]
+            far = np.zeros(len(a), np.uint16)
+            for k in range(f.shape[1]):
+                far += np.bitwise_count(f[a, k] ^ f[a + step, k])
+            a = a[far <= most]
+            if every:
+                out.extend((x, x + step) for x in a.tolist())
+            elif len(a):
+                root = _joined(root, a, step, out)
+            step += 1
+    return out
+
+
+def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Different pairs (u, v), u < v, of ``met`` (key, node, n, f, label); see ``_candidates``."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        n, label = rows.column("n").to_numpy().astype(np.int64), rows.column("label").to_numpy()
+        return _ends(rows, _candidates(_groups(rows), _maps(rows), n, label, similarity, every))
+
+    found = dealt(met).mapInArrow(_by_group(work), "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and s, the shingle set of each of ``nodes`` (node, first: the row (doc_id, h) that stands for it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column("text")], pa.binary())], names=["node", "s"])
+
+    rows = nodes.select("node", F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("node", "text")
+    # repeated rows give a set twice
+    return staged(texts.mapInArrow(run, "node long, s binary").dropDuplicates(["node"]))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (u, v) and ok: whether their sets are at least so similar (Jaccard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("su"), b.column("sv")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    at = lambda side: sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}"))
+    return staged(pairs.join(at("u"), "u").join(at("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, ok boolean"))
 
 
 def near_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Components of ``rows`` (fingerprints of ``docs``) under links at ``similarity`` or more."""
-    classes = staged(classes_of(rows).withColumn("node", F.xxhash64("f")))
-    steps = [bits_for(similarity + (1 - similarity) * k / 4, 64 * WIDE) for k in (3, 2, 1, 0)] + [bits_for(similarity, 64 * WIDE, s) for s in (1.25, 2.5)]
-    found = links(classes.select("node", "f"), block_tables(BLOCKS, BLOCKS * BLOCK_BITS), *steps)
-    sure = confirmed(found, classes, docs, shingle, similarity)
-    return named(classes, sure, "node")
+    """node and component of ``rows`` (``shingled`` of ``docs``) under all links at ``similarity`` or more.
+
+    A forest of each bucket's candidates is tested first.  What is confirmed
+    joins classes; then every candidate pair that is still apart and wasn't
+    tested is tested too, so a false link hides no true one.
+    """
+    classes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n"), F.min("f").alias("f"), F.min("keys").alias("keys")))
+    met = staged(postings(classes))
+    sets = sets_of(classes.join(met.select("node").distinct(), "node"), docs, shingle)
+    tested = compared(candidates(met.withColumn("label", F.col("node")), similarity, every=False), sets, similarity)
+    roots = components(tested.where("ok").select("u", "v"))
+    apart = met.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    rest = compared(candidates(apart, similarity, every=True).join(tested, ["u", "v"], "left_anti"), sets, similarity)
+    sure = tested.where("ok").union(rest.where("ok")).select("u", "v")
+    return named(classes.select("node", "first"), sure, "node")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of least doc_id.
 
-    64 bits can't tell a similarity of 0.8 (ten differing bits, give or take
-    three), so fingerprints here have 320.  Blocks are 24 of 13 bits: a pair at
-    0.8 shares one with a chance of 0.95, at 0.9 of 0.999, copies for sure.
-    Within buckets the Hamming distance picks candidates, up to 2.5 standard
-    deviations beyond what 0.8 gives and closest first, and each link is then
-    confirmed on the two texts' shingles.
+    Near copies are texts whose sets of shingles have this similarity (Jaccard)
+    or more, and what they reach.  The links are exact: texts of equal sets are
+    one class, candidates share a shingle of their prefixes, and sets decide.
     """
-    rows = staged(fingerprints(docs, shingle, WIDE))
+    rows = staged(shingled(docs, shingle, similarity))
     groups = near_groups(rows, docs, shingle, similarity)
-    marked = rows.join(groups, "f").select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
+    marked = rows.join(groups, "node").select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
     keys = staged(marked.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")))
     gone = keys.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))

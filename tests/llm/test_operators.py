@@ -381,6 +381,36 @@ def test_near_groups_are_those_of_exact_similarity(spark, sf):
     assert want <= got and len(got - want) <= 2
 
 
+def _family(rng, base, changed):
+    """A copy of the words ``base`` with so many of them, ten apart at least, replaced."""
+    w = list(base)
+    for p in rng.choice(len(w) // 10 - 1, changed, replace=False):
+        w[10 * int(p) + 5] = f"x{rng.integers(0, 10**9)}"
+    return w
+
+
+def test_near_pairs_within_a_family_just_below(spark):
+    """Pairs at 0.82 in a family at 0.67 to 0.79: no false link of a bucket's forest hides them."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 500)]
+    t = {}
+    for k in range(60):
+        one = _family(rng, base, int(rng.integers(6, 9)))
+        t[2 * k], t[2 * k + 1] = " ".join(one), " ".join(_family(rng, one, 10))
+    sets = {i: set(simhash.shingles(x, 5).tolist()) for i, x in t.items()}
+    root = {i: i for i in t}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in t:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in t if find(i) == i}
+    got = {r["doc_id"] for r in simhash.deduplicated(docs(spark, [(i, x, "en", "a") for i, x in t.items()])).collect()}
+    assert got == want
+
+
 def test_token_tree(spark, tmp_path, sf):
     counter = token_tree.Counter.of(public_tokenizers.path(token_tree.VOCABULARY))
     full = lambda t: len(counter.encoding.encode_ordinary(t))
