@@ -411,6 +411,14 @@ def test_near_pairs_within_a_family_just_below(spark):
     assert got == want
 
 
+def test_repeated_lines_make_no_near_copies(spark):
+    """Texts whose repeated line outweighs all else are compared by their own shingles."""
+    rng = np.random.default_rng(5)
+    t = {i: "buy now cheap pills online " * 200 + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 150)) for i in range(2)}
+    assert len({simhash.fingerprint(x, 5, 5) for x in t.values()}) == 1
+    assert simhash.deduplicated(docs(spark, [(i, x, "en", "a") for i, x in t.items()])).count() == 2
+
+
 def test_token_tree(spark, tmp_path, sf):
     counter = token_tree.Counter.of(public_tokenizers.path(token_tree.VOCABULARY))
     full = lambda t: len(counter.encoding.encode_ordinary(t))
