@@ -419,6 +419,13 @@ def test_repeated_lines_make_no_near_copies(spark):
     assert simhash.deduplicated(docs(spark, [(i, x, "en", "a") for i, x in t.items()])).count() == 2
 
 
+def test_near_copies_that_repeat_a_line_differently(spark):
+    """One license line against 150 of it: sets at 0.98, fingerprints far apart."""
+    rng = np.random.default_rng(6)
+    words, line = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)), " all rights of this work are reserved"
+    assert [r["doc_id"] for r in simhash.deduplicated(docs(spark, [(1, words + line, "en", "a"), (2, words + line * 150, "en", "a")])).collect()] == [1]
+
+
 def test_token_tree(spark, tmp_path, sf):
     counter = token_tree.Counter.of(public_tokenizers.path(token_tree.VOCABULARY))
     full = lambda t: len(counter.encoding.encode_ordinary(t))
