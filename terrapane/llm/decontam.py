@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrapane.llm.common import table
+from terrapane.llm.common import staged, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -245,21 +246,56 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
 
     A span is cut from its first word's first character to its last word's last;
     the rest of the text stays as it was.  ``n_chars``, where present, follows.
+    Spans of all blocks are found on the text as it came; it is judged and cut once.
     """
     sc = docs.sparkSession.sparkContext
+    schema, automaton = docs.schema, None
     for b in blocks(benchmark, block_words):
-        docs = _cut(docs, sc.broadcast(Automaton(b, window)), max_coverage)
-    return docs
+        if automaton is not None:  # written, so that a task holds one automaton at a time
+            docs = staged(_noted(docs, automaton))
+        automaton = sc.broadcast(Automaton(b, window))
+    return _cut(docs, automaton, max_coverage, schema)
 
 
-def _cut(docs: DataFrame, automaton, max_coverage: float) -> DataFrame:
+def _found(a: Automaton, words: list[bytes], before: list[dict] | None) -> list[tuple[int, int]]:
+    """The automaton's spans of hit words, merged with those of the blocks before."""
+    spans, _ = a.scan(words)
+    if not before:
+        return spans
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([*spans, *((x["s"], x["e"]) for x in before)]):
+        if out and out[-1][1] >= s:
+            s, e = out[-1][0], max(out.pop()[1], e)
+        out.append((s, e))
+    return out
+
+
+def _noted(docs: DataFrame, automaton) -> DataFrame:
+    """``docs`` with the spans of hit words so far in ``__spans``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton.value
+        for b in batches:
+            before = b.column("__spans").to_pylist() if "__spans" in b.schema.names else [None] * b.num_rows
+            spans = [[{"s": s, "e": e} for s, e in _found(a, words_of(t), x)] for t, x in zip(b.column("text").to_pylist(), before)]
+            keep = [c for c in b.schema.names if c != "__spans"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(spans, _SPAN)], names=[*keep, "__spans"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.drop("__spans").schema, T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))]))
+
+
+def _cut(docs: DataFrame, automaton, max_coverage: float, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value
         for b in batches:
+            before = [None] * b.num_rows
+            if "__spans" in b.schema.names:
+                before = b.column("__spans").to_pylist()
+                b = b.drop_columns(["__spans"])
             keep, texts, cut = [], [], []
-            for t in b.column("text").to_pylist():
+            for t, x in zip(b.column("text").to_pylist(), before):
                 w = words_of(t)
-                spans, _ = a.scan(w)
+                spans = _found(a, w, x)
                 keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(w))
                 cut.append(bool(spans and keep[-1]))
                 texts.append(without(t, spans) if cut[-1] else t)
@@ -270,7 +306,7 @@ def _cut(docs: DataFrame, automaton, max_coverage: float) -> DataFrame:
                 b = b.set_column(i, "n_chars", n)
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -229,6 +229,20 @@ def test_cleaned(spark, tmp_path):
     assert got[4]["text"] == LONG and got[2]["text"] is None and decontam.cleaned(d, bench).columns == d.columns
 
 
+def test_cleaned_with_several_blocks(spark):
+    """Coverage, overlaps and cuts are those of one automaton, however many blocks the items take."""
+    w = [f"w{i}" for i in range(15)]
+    own = [f"own{i}" for i in range(40)]
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[5:])), (3, "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10"), (4, "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10"), (5, "own0 own1 own2 own3 own4 own5 own6 own7 own8 own9")]
+    over = " ".join([*own[10:], *w, *own[10:]])
+    joint = " ".join([*own[:5], *w[:10], *own[5:]])  # a window of item 5 arises by the cut alone
+    texts = [(50, over, "en", "a"), (51, f"{items[2][1]} {' '.join(own[10:24])} {items[3][1]}", "en", "a"), (52, joint, "en", "a"), *TEXTS[:3]]
+    d, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    want, got = ({r["doc_id"]: r["text"] for r in decontam.cleaned(d, bench, block_words=n).collect()} for n in (decontam.BLOCK_WORDS, 10))
+    assert got == want and 51 not in got
+    assert got[50] == f"{' '.join(own[10:])}  {' '.join(own[10:])}" and got[52] == f"{' '.join(own[:5])}  {' '.join(own[5:])}"
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
