@@ -13,8 +13,8 @@ alternate, so that a text is read a few times however many spans it holds, and
 only where a kind occurs at all.
 
 Defined results: a null text is empty and has no spans; spans are whole matches
-in code points; a Markov span that overlaps a base span is dropped; equal rows
-give equal spans; an empty table gives an empty result (the models then rest on
+in code points; a Markov span within a base span is dropped, one that reaches
+beyond it stays beside it; equal rows give equal spans; an empty table gives an empty result (the models then rest on
 the made strings alone); extra columns are ignored by the query and kept by
 ``redact``.
 """
@@ -129,7 +129,7 @@ def all_spans(text: Column, model: list[float], threshold: float = 1.0) -> Colum
     hit = F.exists(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), secret)
 
     def merged(base: Column) -> Column:
-        clear = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        clear = lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
         more = F.when(hit, F.filter(spans_of(text, CANDIDATE, 3, secret), clear)).otherwise(none())
         return F.struct(base.alias("base"), F.array_sort(F.concat(base, more)).alias("all"))
 
