@@ -100,4 +100,7 @@ def _with(names: list[str], sql: str) -> str:
     return "".join(f"{'WITH' if k == 0 else ','} {n} AS ({VIEWS[n]})\n" for k, n in enumerate(order)) + sql
 
 
+#: The whole jobs of queries whose own SQL takes a part: all zooms.
+_RAW["q39b_xyz_pyramid_whole"] = (["v_tiles"], _RAW["q39_xyz_pyramid"][1].replace("range(1, 9)", "range(1, 16)"))
+
 ORACLE = {name: _with(*parts) for name, parts in _RAW.items()}

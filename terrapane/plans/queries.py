@@ -216,6 +216,11 @@ def q39_xyz_pyramid(s: SparkSession, d: str) -> DataFrame:
     return mosaic.pyramid_counts(v.tiles(s, d), range(1, 9))
 
 
+def q39b_xyz_pyramid_whole(s: SparkSession, d: str) -> DataFrame:
+    """All zooms of the reference's pyramid."""
+    return mosaic.pyramid_counts(v.tiles(s, d), range(1, 16))
+
+
 def q40_list_limit(s: SparkSession, d: str) -> DataFrame:
     return catalog.listed(v.tiles(s, d), 10)
 

@@ -43,6 +43,13 @@ def test_entry(spark):
     assert df.columns == ["band", "row", "col", "u8"] and df.count() > 0
 
 
+def test_pyramid_has_all_zooms(spark, sf):
+    from terrapane.plans import views
+
+    rows = QUERIES["q39b_xyz_pyramid_whole"](spark, sf).groupBy("z").sum("n").collect()
+    assert {r[0]: r[1] for r in rows} == dict.fromkeys(range(1, 16), views.tiles(spark, sf).count())
+
+
 def test_plans(spark, sf):
     """Shapes of plans that matter at scale."""
     plan = lambda n: QUERIES[n](spark, sf)._jdf.queryExecution().executedPlan().toString()
