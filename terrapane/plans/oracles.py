@@ -100,7 +100,11 @@ def _with(names: list[str], sql: str) -> str:
     return "".join(f"{'WITH' if k == 0 else ','} {n} AS ({VIEWS[n]})\n" for k, n in enumerate(order)) + sql
 
 
-#: The whole jobs of queries whose own SQL takes a part: all zooms.
+#: The whole jobs of queries whose own SQL takes a part: all rows of the raster, all zooms.
+VIEWS["v_grid_whole"] = "SELECT (vec_id // 20)::int AS py, (vec_id % 20)::int AS px, embedding[1]::double AS value FROM embeddings"
+_DST_WHOLE = _DST.replace("range(1600) r(i)", "(SELECT unnest(range((SELECT 80 * (max(vec_id) // 20 + 1) FROM embeddings))) AS i)")
+for _whole, _part in {"q30b_reproject_nearest_whole": "q30_reproject_nearest", "q31b_reproject_bilinear_whole": "q31_reproject_bilinear"}.items():
+    _RAW[_whole] = (["v_grid_whole"], _RAW[_part][1].replace(_DST, _DST_WHOLE).replace("v_grid g", "v_grid_whole g"))
 _RAW["q39b_xyz_pyramid_whole"] = (["v_tiles"], _RAW["q39_xyz_pyramid"][1].replace("range(1, 9)", "range(1, 16)"))
 
 ORACLE = {name: _with(*parts) for name, parts in _RAW.items()}

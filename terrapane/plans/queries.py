@@ -175,6 +175,22 @@ def q31_reproject_bilinear(s: SparkSession, d: str) -> DataFrame:
     return _resampled(s, d, reproject.bilinear).select("row", "col", F.round("value", 6).alias("value"))
 
 
+def _resampled_whole(s: SparkSession, d: str, how) -> DataFrame:
+    """``_resampled`` over all rows of the table: the target is twice as high as the source."""
+    source = v.raster_whole(s, d)
+    height = (source.agg(F.max("py")).first()[0] or 0) + 1
+    row, col = reproject.source_position(TARGET, SOURCE)
+    return how(source, reproject.target_cells(s, 2 * height, SIZE), row, col)
+
+
+def q30b_reproject_nearest_whole(s: SparkSession, d: str) -> DataFrame:
+    return _resampled_whole(s, d, reproject.nearest)
+
+
+def q31b_reproject_bilinear_whole(s: SparkSession, d: str) -> DataFrame:
+    return _resampled_whole(s, d, reproject.bilinear).select("row", "col", F.round("value", 6).alias("value"))
+
+
 def q32_mask_visible(s: SparkSession, d: str) -> DataFrame:
     return pixel.visible(v.masks(s, d), "land")
 

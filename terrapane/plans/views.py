@@ -82,3 +82,8 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 20 x 20 raster: py, px, value."""
     return _t(spark, sf_dir, "embeddings").where("vec_id < 400").select(F.expr("cast(vec_id div 20 as int)").alias("py"), F.expr("cast(vec_id % 20 as int)").alias("px"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+
+
+def raster_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster 20 pixels wide of all rows: py, px, value."""
+    return _t(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id div 20 as int)").alias("py"), F.expr("cast(vec_id % 20 as int)").alias("px"), F.get("embedding", F.lit(0)).cast("double").alias("value"))

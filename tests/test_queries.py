@@ -50,6 +50,17 @@ def test_pyramid_has_all_zooms(spark, sf):
     assert {r[0]: r[1] for r in rows} == dict.fromkeys(range(1, 16), views.tiles(spark, sf).count())
 
 
+def test_resampling_reads_all_rows(spark, tmp_path, duck):
+    """1,010 rows: the last source row is half full."""
+    duck.execute(f"COPY (SELECT i AS vec_id, [(i % 97)::float, 0::float] AS embedding FROM range(1010) r(i)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    own = duck.cursor()
+    own.execute(f"CREATE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("q30b_reproject_nearest_whole", "q31b_reproject_bilinear_whole"):
+        df = QUERIES[name](spark, str(tmp_path))
+        got = normal(df.select("row", "col", "value").collect())
+        assert len(got) > 3900 and got == normal(own.execute(f"SELECT row, col, value FROM ({ORACLE[name]})").fetchall())
+
+
 def test_plans(spark, sf):
     """Shapes of plans that matter at scale."""
     plan = lambda n: QUERIES[n](spark, sf)._jdf.queryExecution().executedPlan().toString()
