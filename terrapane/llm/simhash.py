@@ -339,8 +339,8 @@ def shingled(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, node long, n int, f binary, keys binary")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(key, node, n, f) for each shingle of a prefix that more than one class has in its own."""
+def postings(rows: DataFrame) -> DataFrame:
+    """(key, node) for each shingle of a prefix that more than one class has in its own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,8 +363,9 @@ def postings(classes: DataFrame) -> DataFrame:
         if met:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    keyed = classes.select("node", "keys").mapInArrow(each, "key long, node long").repartition("key").sortWithinPartitions("key")
-    return staged(keyed.mapInArrow(shared, "key long, node long")).join(classes.select("node", "n", "f"), "node")
+    # equal sets have equal prefixes
+    keyed = rows.groupBy("node").agg(F.min("keys").alias("keys")).mapInArrow(each, "key long, node long").repartition("key").sortWithinPartitions("key")
+    return staged(keyed.mapInArrow(shared, "key long, node long"))
 
 
 def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> list[tuple[int, int]]:
@@ -410,16 +411,28 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node and s, the shingle set of each of ``nodes`` (node, first: the row (doc_id, h) that stands for it)."""
+    """node and s, the shingle set of each of ``nodes`` (node, first: the row (doc_id, h) that stands for it).
+
+    Texts that can't be among them are dropped by a bitmap of their hashes
+    before any is dealt out.
+    """
+    wanted = nodes.select("node", F.col("first.h").alias("h"))
+    bits = np.zeros(1 << 25, bool)
+    bits[wanted.select(F.pmod("h", F.lit(len(bits))).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("h").to_numpy() & np.int64((1 << 25) - 1)
+            yield b.filter(pa.array((packed.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column("text")], pa.binary())], names=["node", "s"])
 
-    rows = nodes.select("node", F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("node", "text")
-    # repeated rows give a set twice
-    return staged(texts.mapInArrow(run, "node long, s binary").dropDuplicates(["node"]))
+    # one of repeated texts, combined map-side
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(some, "h long, text string").groupBy("h").agg(F.first("text").alias("text"))
+    return staged(wanted.join(texts, "h").select("node", "text").mapInArrow(run, "node long, s binary"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -445,13 +458,20 @@ def near_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     joins classes; then every candidate pair that is still apart and wasn't
     tested is tested too, so a false link hides no true one.
     """
-    classes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n"), F.min("f").alias("f"), F.min("keys").alias("keys")))
-    met = staged(postings(classes))
-    sets = sets_of(classes.join(met.select("node").distinct(), "node"), docs, shingle)
-    tested = compared(candidates(met.withColumn("label", F.col("node")), similarity, every=False), sets, similarity)
+    classes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n"), F.min("f").alias("f")))
+    slim = postings(rows)
+    maps = classes.select("node", "n", "f")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs)
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        return compared(pairs, sets_of(classes.join(ends, "node"), docs, shingle), similarity)
+
+    tested = checked(candidates(slim.join(maps, "node").withColumn("label", F.col("node")), similarity, every=False))
     roots = components(tested.where("ok").select("u", "v"))
-    apart = met.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rest = compared(candidates(apart, similarity, every=True).join(tested, ["u", "v"], "left_anti"), sets, similarity)
+    apart = staged(slim.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    several = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = checked(candidates(apart.join(several, "key").join(maps, "node"), similarity, every=True).join(tested, ["u", "v"], "left_anti"))
     sure = tested.where("ok").union(rest.where("ok")).select("u", "v")
     return named(classes.select("node", "first"), sure, "node")
 
