@@ -1,7 +1,8 @@
 """Format-preserving Feistel pseudonyms (operator 4), all DataFrame expressions.
 
 A found value is checked (card numbers by their check digit, phone numbers by
-the numbering plan, addresses by the octets' range, social security numbers by
+the numbering plan unless their layout is a full one (+1 or an area code in
+parentheses), addresses by the octets' range, social security numbers by
 the issued ranges, dates by the calendar), ranked within the values of its
 format, permuted there under a key, and written back in the same layout.  The
 permutation is a Feistel network over a product Z_a x Z_b whose size is just the
@@ -32,9 +33,9 @@ KEY = "terrapane-demo-key"
 # The formats' patterns, tried in this order.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\w]|\.[0-9])"
-PHONE = r"(?<!\w)(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?!\w)"
+PHONE = r"(?<!\w)(?:(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?)[0-9]{3}|[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?!\w)"
 SSN = r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"
-DATE = r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![\w-])"
+DATE = r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?!(?!T[0-9])[\w-])"
 CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
 FORMATS = {"email": EMAIL, "ipv4": IPV4, "phone": PHONE, "ssn": SSN, "date": DATE, "card": CARD}
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
@@ -86,14 +87,25 @@ class Pseudonyms:
         return let(chars, go)
 
     def phone(self, v: Column) -> Column:
-        """Area and exchange are 200 to 999; 800 * 800 * 10,000 numbers."""
+        """Area and exchange are 200 to 999; 800 * 800 * 10,000 numbers.
+
+        The other 360,000 pairs of codes, which only full layouts have, are permuted among themselves.
+        """
 
         def go(d: Column) -> Column:
             ten = F.right(d, F.lit(10))
-            x = (F.substring(ten, 1, 3).cast("long") - 200) * 800 + F.substring(ten, 4, 3).cast("long") - 200
-            p = self.permuted("phone", x, F.substring(ten, 7, 4), 640_000, 10_000)
-            new = let(p, lambda q: F.concat((F.floor(q["x"] / 800) + 200).cast("string"), (q["x"] % 800 + 200).cast("string"), F.lpad(q["y"].cast("string"), 4, "0")))
-            return F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new)
+            area, exchange = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 3).cast("long")
+            usual = (area >= 200) & (exchange >= 200)
+            # areas under 200 first, then exchanges under 200
+            other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+            p = self.permuted("phone", F.when(usual, (area - 200) * 800 + exchange - 200).otherwise(other), F.substring(ten, 7, 4), F.when(usual, 640_000).otherwise(360_000), 10_000)
+
+            def written(q: Column) -> Column:
+                x = q["x"]
+                codes = F.when(usual, (F.floor(x / 800) + 200) * 1000 + x % 800 + 200).when(x < 200_000, x).otherwise((F.floor((x - 200_000) / 200) + 200) * 1000 + (x - 200_000) % 200)
+                return F.concat(F.lpad(codes.cast("string"), 6, "0"), F.lpad(q["y"].cast("string"), 4, "0"))
+
+            return F.concat(F.substr(d, F.lit(1), F.length(d) - 10), let(p, written))
 
         return self.laid_out(v, let(self.digits(v), go))
 

@@ -162,6 +162,18 @@ def test_pii_dates_are_permuted(spark):
     assert d.select(pii.Pseudonyms().date(F.col("v")).alias("n")).agg(F.count_distinct("n"), F.count("n")).first()[:] == (pii.DAYS, pii.DAYS)
 
 
+def test_pii_full_phone_layouts_and_timestamps(spark):
+    """Full layouts are rewritten whatever their codes, one to one; usual codes stay usual."""
+    phones = [f"+1 ({a:03d}) {x:03d}-7713" for a in (0, 17, 199, 200, 999) for x in (0, 55, 199, 200, 555)]
+    values = [*phones, "(017) 555-7713", "2024-01-02T10:00", "017-555-7713", "2024-01-02Tx"]
+    got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame([(i, f"a {v} b") for i, v in enumerate(values)], "doc_id long, text string").orderBy("doc_id")).collect()]
+    new = [re.fullmatch(r"a \+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{4}) b", t).groups() for t in got[:25]]
+    assert len(set(new)) == 25 and not set(got) & {f"a {v} b" for v in values[:27]}
+    assert [min(int(a), int(x)) >= 200 for a, x, _ in new] == [min(int(v[4:7]), int(v[9:12])) >= 200 for v in phones]
+    assert re.sub("[^0-9]", "", got[25]) == "".join(new[phones.index("+1 (017) 555-7713")])
+    assert re.fullmatch(r"a \d{4}-\d\d-\d\dT10:00 b", got[26]) and got[27:] == [f"a {v} b" for v in values[27:]]
+
+
 def test_pii_query(spark, tmp_path):
     got = {r["doc_id"]: r for r in run("op4_feistel_pii", spark, at(tmp_path, spark, [*TEXTS, (50, "mail a.b@c.example.com now", "en", "a")]))}
     assert got[2]["text"] is None and got[2]["n_card"] == 0 and got[4]["text"] == LONG and got[50]["n_email"] == 1
