@@ -406,7 +406,8 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
         n, label = rows.column("n").to_numpy().astype(np.int64), rows.column("label").to_numpy()
         return _ends(rows, _candidates(_groups(rows), _maps(rows), n, label, similarity, every))
 
-    found = dealt(met).mapInArrow(_by_group(work), "u long, v long")
+    # in one order of nodes everywhere, so that the buckets of a group of copies give the same forest
+    found = dealt(met).sortWithinPartitions("key", "i", "j", "node").mapInArrow(_by_group(work), "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
