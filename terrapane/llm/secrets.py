@@ -4,8 +4,8 @@ Fixed patterns find the known kinds.  What they miss is found by two character
 Markov models, one of random strings and one of ordinary identifiers: a long
 token whose log-likelihood ratio per transition is over a threshold is a secret
 too.  Both are fitted to labelled samples: random strings in the usual
-alphabets together with the values that the patterns find, against the ordinary
-tokens of the same documents.  The documents that give samples are bounded by
+alphabets together with the values that the patterns find, against identifiers
+and paths made of usual words together with the ordinary tokens of the same documents.  The documents that give samples are bounded by
 ``sample_rows``; they are picked by a hash over the whole table.
 
 Positions come from a text's gaps (``split``) and matches, whose lengths
@@ -90,11 +90,54 @@ def made_strings(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(rows).select(F.explode(F.array(*kinds)).alias("token"))
 
 
+# Words of which ordinary identifiers and paths are made.
+WORDS = """access account action active address administration allow annotation application archive argument array assets
+attribute average backup balance before binary body boundary branch browser buffer build button cache calculate category
+channel character check client cluster code collection column command common compare component config connection constant
+container content context control convert count create current customer data database date default delete description device
+dictionary directory display document domain download dynamic element email enable encoding engine entity environment error
+event example execute export expression extension factory feature field file filter first folder format forward frame function
+general generate global graph group handler header height history host identifier image import index information initialize
+input instance integer interface internal international invoice item journal javascript kernel keyboard language last layer
+layout length level library license limit line link list listener loader local location lookup manager mapping message method
+model module monitor name network node notification number object offset operation option order output overview package page
+parameter parent parse partition path pattern performance period permission picture platform policy position predicate prefix
+price process product profile project property protocol provider public query queue quick range reader receive record reference
+region register release remote render report repository request require resource response result return review role route
+sample schedule schema score screen search section select sequence server service session setting shape share signature size
+source space standard start state static statistics status step storage stream string structure style subject summary support
+switch symbol system table target task template temporary test text theme thread threshold time timeout title total trace
+transaction transform tree trigger type unit update upload user utility validate value variable vector version view visible
+volume warning wave web weight width window worker workflow write year zone""".split()
+
+
+def made_ordinary(spark: SparkSession, rows: int) -> DataFrame:
+    """Identifiers and paths, the same on every call, in snake, kebab, camel and Pascal case, capitals, as paths and with numbers; and rules of one character."""
+    words = literal_array(WORDS, "string")
+    word = lambda k: F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    number = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3000)).cast("string")
+    kinds = [
+        F.concat_ws("_", a, b, c),
+        F.concat_ws("-", a, b, c, d),
+        F.concat(a, F.initcap(b), F.initcap(c)),
+        F.concat(F.initcap(a), F.initcap(b), F.initcap(c), F.initcap(d)),
+        F.upper(F.concat_ws("_", a, b, c)),
+        F.concat(a, F.lit("/"), b, F.lit("/"), c, F.lit("/"), F.initcap(d), F.initcap(a)),
+        F.concat(F.lit("/"), a, F.lit("/"), b, F.lit("_"), c, F.lit("/"), d, number),
+        F.concat(a, F.lit("_"), b, F.lit("_"), number),
+        F.concat(b, F.lit("-"), number, F.lit("-"), c),
+        F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), 24),
+    ]
+    return spark.range(rows).select("id", *(word(k).alias(x) for k, x in enumerate("abcd"))).select(F.explode(F.array(*kinds)).alias("token"))
+
+
 def fit(docs: DataFrame, sample_rows: int = 2000, made_rows: int = 2000) -> list[float]:
     """The table of log-likelihood ratios, a row for each pair of characters.
 
     Add-one smoothing over the alphabet; the counts that reach the driver are
-    at most two for each pair.
+    at most two for each pair.  The made samples of either label keep the model
+    usable for tables that have few tokens.
     """
     spark = docs.sparkSession
     total = docs.count()
@@ -102,7 +145,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, made_rows: int = 2000) -> list
     values = picked.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ASSIGN), F.lit(2))).alias("token")).where(F.length("token") >= ASSIGN_VALUE)
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     ordinary = picked.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z][A-Za-z_-]{5,}"), F.lit(0))).alias("token"))
-    labelled = values.union(made_strings(spark, made_rows)).withColumn("random", F.lit(True)).union(ordinary.withColumn("random", F.lit(False)))
+    labelled = values.union(made_strings(spark, made_rows)).withColumn("random", F.lit(True)).union(ordinary.union(made_ordinary(spark, made_rows)).withColumn("random", F.lit(False)))
     counts = labelled.select("random", F.explode(transitions(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
     n = len(ALPHABET) + 1
     seen = {True: [1.0] * (n * n), False: [1.0] * (n * n)}
@@ -158,10 +201,22 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, let(spans, cut)).otherwise(text)
 
 
+def closed(text: Column, spans: Column) -> Column:
+    """``spans`` with the closing quote of an assigned value whose opening quote is in its span."""
+
+    def end(s: Column) -> Column:
+        part = lambda at, n: F.substr(text, (at + 1).cast("int"), n.cast("int"))
+        quote = F.regexp_extract(part(s["start"], s["end"] - s["start"]), r"""[:=]\x20*(["'])""", 1)
+        return F.when((s["kind"] == 0) & (quote != "") & (quote == part(s["end"], F.lit(1))), s["end"] + 1).otherwise(s["end"])
+
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end(s).alias("end")))
+
+
 def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """``docs`` with secrets masked in ``text``; ``n_chars``, where present, follows."""
+    """``docs`` with secrets masked in ``text``, quotes around an assigned value too; ``n_chars``, where present, follows."""
     model = fit(docs) if model is None else model
-    new = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(redacted(F.col("text"), all_spans(F.col("text"), model)["all"]))
+    text = F.col("text")
+    new = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(let(all_spans(text, model)["all"], lambda s: redacted(text, closed(text, s))))
     out = docs.withColumn("text", new)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -323,6 +323,31 @@ def test_markov_spans_beyond_base_spans(spark):
     assert spans == {60: [1, 3], 61: [2, 3], 62: [0]}
 
 
+ORDINARY = [
+    "src/main/java/com/example/service/UserServiceImpl", "AbstractSingletonProxyFactoryBean", "MAX_CONNECTION_TIMEOUT_SECONDS", "https/www-example-org/articles/2024/05/17/report", "/usr/local/lib/python3/site-packages/numpy/core",
+    "Donaudampfschifffahrtsgesellschaft", "responsabilidades_internacionales", "-" * 40, "=" * 25, "_" * 30, "z" * 24, "getElementsByClassNameAndAttribute", "feature-branch-2024-fix-login-page",
+]
+
+
+@pytest.mark.parametrize("table", ["none", "small"])
+def test_planted_secrets_that_only_the_model_finds(spark, sf, table):
+    """Recall over 200 planted strings that no pattern finds, and no false positive among identifiers, paths and rules."""
+    rng = np.random.default_rng(12)
+    base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    planted = {1000 + i: "".join(rng.choice(base62, int(rng.integers(24, 48)))) for i in range(200)}
+    texts = [(i, f"é the key {v} was here", "en", "a") for i, v in planted.items()] + [(i, f"see {v} there", "en", "a") for i, v in enumerate(ORDINARY)]
+    model = secrets.fit(docs(spark, TEXTS[:1]) if table == "none" else spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["all"]] for r in secrets.scan(docs(spark, texts), model).collect()}
+    assert not any(got[i] for i in range(len(ORDINARY)))
+    assert sum(got[i] == [(10, 3, 10 + len(v))] for i, v in planted.items()) >= 0.98 * len(planted)
+
+
+def test_redaction_takes_closing_quotes(spark):
+    texts = [(1, "a password='abcdefghijkl' b", "en", "a"), (2, 'token: "abcdefghijkl', "en", "a"), (3, "secret=abcdefghijkl' b", "en", "a"), (4, "'token':\"abcdefghijkl\"", "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts), [-1.0] * (len(secrets.ALPHABET) + 1) ** 2).collect()}
+    assert got == {1: "a [SECRET] b", 2: "[SECRET]", 3: "[SECRET]' b", 4: "'[SECRET]"}
+
+
 def brute_fingerprint(t, k=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:
