@@ -5,13 +5,17 @@ no letter is a space), weighted by TF-IDF and normalised.  Each language has
 several centroids, found by spherical k-means on its labelled texts; a text gets
 the language of the centroid with the greatest cosine.  A text is rejected when
 it is farther from its centroid than nearly all training texts of the language
-are from theirs: under the ``reject_quantile`` of their cosines, less ``slack``, and
-under ``ceiling`` in any case, so that texts of a very even training set don't
-make a rule of its evenness.
-
-The fit takes at most ``train_rows`` labelled rows, picked by a hash over all of
-them and evenly over the languages; their vectors (not texts) come to the
-driver, ``train_rows`` x DIMS x 4 bytes.  The model, a few hundred kB, is
+and of its length are from theirs: under the ``reject_quantile`` of their cosines,
+less ``slack``, and under ``ceiling`` in any case, so that texts of a very even
+training set don't make a rule of its evenness.  Short texts have low cosines
+whatever their language, so thresholds are learned by the number of different
+grams, from the training texts and from excerpts of them; a length of which
+there are under ``LEAST`` examples takes the threshold of the next shorter one.
+
+The fit takes at most ``train_rows`` labelled rows (one a language if there are
+more languages), picked by a hash over all of them and evenly over the languages,
+repeated rows once; their vectors (not texts) come to the driver, DIMS x 4 bytes
+each.  The model, a few hundred kB, is
 broadcast.  Prediction is one pass in Arrow batches with no shuffle; a text is
 counted in pieces, so memory doesn't follow the longest one.
 
@@ -24,6 +28,7 @@ the query and kept by ``filtered``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +42,8 @@ from terrapane.llm.common import table
 DIMS = 4096
 #: Characters that are counted at once.
 PIECE = 1 << 20
+#: Lengths of excerpts that thresholds are learned from, and the least number of examples of a length.
+EXCERPTS, LEAST = tuple(1 << k for k in range(2, 12)), 30
 
 _LETTER: np.ndarray | None = None
 
@@ -77,6 +84,11 @@ def log_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, has
 
 
+def lengths(grams: np.ndarray | int) -> np.ndarray | int:
+    """Class of a number of different grams: its binary order."""
+    return np.floor(np.log2(np.maximum(grams, 1))).astype(int)
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -87,18 +99,23 @@ class Model:
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIMS, np.float32))
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), np.float32))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    #: Least cosine by language and length
+    least: np.ndarray = field(default_factory=lambda: np.zeros((0, lengths(DIMS) + 1), np.float32))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language number and cosine of the nearest centroid of each row of log counts."""
+        near = normalised(x * self.idf) @ self.centroids.T
+        best = near.argmax(1)
+        return self.owner[best], near[np.arange(len(x)), best]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, cosines and whether each text is rejected."""
         x, has = log_counts(texts)
         if not self.languages or not len(texts):
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = normalised(x * self.idf) @ self.centroids.T
-        best = near.argmax(1)
-        lang = self.owner[best]
-        score = np.where(has, np.clip(near[np.arange(len(x)), best], 0, 1), 0).astype(np.float64)
-        return [self.languages[k] if ok else "und" for k, ok in zip(lang, has)], score, ~has | (score < self.least[lang])
+        lang, near = self.nearest(x)
+        score = np.where(has, np.clip(near, 0, 1), 0).astype(np.float64)
+        return [self.languages[k] if ok else "und" for k, ok in zip(lang, has)], score, ~has | (score < self.least[lang, lengths((x > 0).sum(1))])
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -120,14 +137,14 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quantile: float = 0.001, slack: float = 0.1, ceiling: float = 0.5) -> Model:
     """Learn from ``text`` and non-null ``lang`` of at most ``train_rows`` rows of ``docs``."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row for each language
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("low")).collect()  # one row for each language
     if not sizes:
         return Model()
-    share = train_rows // len(sizes)
-    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000))
-    cut = F.lit(0).cast("double")
-    for lang, n in sizes.items():
-        cut = F.when(F.col("lang") == lang, F.lit(1e9 * share / n)).otherwise(cut)
+    share = max(1, train_rows // len(sizes))
+    # every language gives a row at least; a constant map, so that no text is dealt out for it
+    cuts = json.dumps({r["lang"]: float(max(1e9 * share / r["n"], r["low"] + 1)) for r in sizes})
+    cut = F.from_json(F.lit(cuts), "map<string,double>")[F.col("lang")]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +152,8 @@ def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quan
             rows = np.nonzero(has)[0]
             yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(rows)), pa.array([x[r].tobytes() for r in rows], pa.binary()), b.column("h").take(pa.array(rows))], names=["lang", "x", "h"])
 
-    rows = labelled.select("lang", "text", hashed.alias("h")).where(F.col("h") < cut).mapInArrow(vectors, "lang string, x binary, h long").collect()
+    picked = labelled.select("lang", "text", hashed.alias("h")).where(F.col("h") < cut).dropDuplicates(["lang", "h"])
+    rows = picked.mapInArrow(vectors, "lang string, x binary, h long").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
     model = Model(sorted({r["lang"] for r in rows}))
     if not rows:
@@ -144,16 +162,43 @@ def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quan
     y = np.array([model.languages.index(r["lang"]) for r in rows])
     model.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = normalised(x * model.idf)
-    parts, owner, least = [], [], []
+    parts, owner = [], []
     for k in range(len(model.languages)):
         c = _clusters(x[y == k], centroids)
         parts.append(c)
         owner += [k] * len(c)
-        least.append(min(ceiling, float(np.quantile((x[y == k] @ c.T).max(1), reject_quantile)) - slack))
-    model.centroids, model.owner, model.least = np.concatenate(parts).astype(np.float32), np.array(owner), np.array(least, np.float32)
+    model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.array(owner)
+    model.least = thresholds(picked, model, reject_quantile, slack, ceiling)
     return model
 
 
+def thresholds(picked: DataFrame, model: Model, reject_quantile: float, slack: float, ceiling: float) -> np.ndarray:
+    """Least cosine with a language's own centroids, by language and length, from texts and excerpts of ``picked`` (lang, text)."""
+    shared = picked.sparkSession.sparkContext.broadcast(model)
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        number = {v: k for k, v in enumerate(m.languages)}
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                # excerpts from one place each, the later ones further on in the text
+                cut = [text[at : at + n] for k, n in enumerate(EXCERPTS) if n < len(text) for at in [k * (len(text) - n) // len(EXCERPTS)]]
+                x, has = log_counts([*cut, text])
+                x = x[has]
+                if lang in number and len(x):
+                    mine = (normalised(x * m.idf) @ m.centroids[m.owner == number[lang]].T).max(1)
+                    yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(x), pa.int32()), pa.array(lengths((x > 0).sum(1)), pa.int32()), pa.array(mine, pa.float32())], names=["lang", "length", "cosine"])
+
+    found = picked.select("lang", "text").mapInArrow(examples, "lang int, length int, cosine float").toArrow()
+    lang, length, cosine = (found.column(c).to_numpy() for c in ("lang", "length", "cosine"))
+    least = np.full((len(model.languages), lengths(DIMS) + 1), -1.0, np.float32)
+    for k in range(len(model.languages)):
+        for n in range(least.shape[1]):
+            those = cosine[(lang == k) & (length == n)]
+            least[k, n] = min(ceiling, float(np.quantile(those, reject_quantile)) - slack) if len(those) >= LEAST else least[k, max(n - 1, 0)]
+    return least
+
+
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
