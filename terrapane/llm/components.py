@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import staged
+from terrapane.llm.common import scratch, staged
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,15 +30,16 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v); root is the least node it reaches.
 
-    Each round is written to the shared folder.  Done when a round changes
-    nothing: every node then points at its root.
+    Each round is written to the shared folder, and the one before dropped.  Done
+    when a round changes nothing: every node then points at its root.
     """
-    state = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or now[0] == 0:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = tuple(now)
-        state = staged(_starred(_starred(state, large=True), large=False))
+    with scratch():
+        state = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        mark = None
+        for _ in range(most_rounds):
+            now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(now) == mark or now[0] == 0:
+                return staged(state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), lasting=True)
+            mark = tuple(now)
+            state = staged(_starred(_starred(state, large=True), large=False))
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -31,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import staged, table
+from terrapane.llm.common import forgotten, scratch, staged, table
 from terrapane.llm.components import components
 
 SEED = 42
 SPLIT = 2048
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Bits in which linked fingerprints may differ.
+DISTANCE = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -185,11 +187,15 @@ def _ends(rows: pa.Table, pairs: list[tuple[int, int]]) -> pa.RecordBatch | None
 
 
 def _linked(distances: tuple[int, ...]):
-    return _by_group(lambda rows: _ends(rows, _forest(_groups(rows), _maps(rows), distances)))
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if (found := _ends(rows, _forest(_groups(rows), _maps(rows), distances))) is not None:
+            yield found
+
+    return _by_group(work)
 
 
 def _by_group(work):
-    """``work`` over whole groups of rows, a batch's groups at a time."""
+    """What ``work`` yields of whole groups of rows, a batch's groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -199,11 +205,10 @@ def _by_group(work):
             new = np.nonzero(np.diff(_groups(held)))[0] if held.num_rows else []
             if len(new):  # the last group may go on in the next batch
                 cut = int(new[-1]) + 1
-                if (found := work(held.slice(0, cut))) is not None:
-                    yield found
+                yield from work(held.slice(0, cut))
                 held = held.slice(cut)
-        if held is not None and held.num_rows and (found := work(held)) is not None:
-            yield found
+        if held is not None and held.num_rows:
+            yield from work(held)
 
     return run
 
@@ -219,7 +224,8 @@ def dealt(keyed: DataFrame) -> DataFrame:
         rows = keyed.join(hot, "key", "left").withColumn("c", F.coalesce(F.pmod(F.xxhash64("node"), "chunks"), F.lit(0)).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
         rows = rows.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), *columns)
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # nodes in one order everywhere, so that the buckets of a group of copies give much the same forest
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
 def links(nodes: DataFrame, tables: list[tuple[tuple[int, int], ...]], *distances: int) -> DataFrame:
@@ -241,9 +247,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return staged(rows.groupBy("f").agg(F.min(F.struct("doc_id", "h")).alias("first")))
 
 
-def named(classes: DataFrame, found: DataFrame, node: str) -> DataFrame:
-    """``node`` and component (least struct (doc_id, h) that it reaches) of every class."""
-    roots = components(found)
+def named(classes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``node`` and component (least struct (doc_id, h) of its root's classes) of every class."""
     rooted = staged(classes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)))
     # written, so that a large component is summed map-side first and isn't dealt out by its root
     firsts = staged(rooted.groupBy("root").agg(F.min("first").alias("component")))
@@ -254,13 +259,14 @@ def grouped(rows: DataFrame, distance: int) -> DataFrame:
     """Components of ``rows`` under all links within ``distance`` of the whole fingerprint."""
     classes = classes_of(rows)
     found = links(classes.select(F.col("f").alias("node"), "f"), exact_tables(classes.count(), distance), distance)
-    return named(classes, found, "f")
+    return named(classes, components(found), "f")
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 4 or fewer differing bits of 64, 4-word shingles."""
     rows = staged(fingerprints(table(spark, sf_dir, "documents"), shingle=4))
-    groups = grouped(rows, distance=4)
+    with scratch():
+        groups = staged(grouped(rows, distance=DISTANCE), lasting=True)
     return rows.join(groups, "f").select("doc_id", F.lower(F.hex("f")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
@@ -268,15 +274,38 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARITY, LOOKED_AT, COMMON = 512, 10_000, 4
 #: Shares of the greatest distance at which links are tried, closest first.
 STEPS = (0.4, 0.7, 1.0)
+#: Pairs that leave a task at once.
+PAIRS = 1 << 16
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray, bits: int = PARITY) -> bytes:
     """Whether an odd number of the set's hashes falls on each bit.
 
     Two maps differ in at most as many bits as the sets have shingles that only
     one of them holds, so what they rule out is ruled out for sure.
     """
-    return np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide(n: int) -> int:
+    """Bits of the parity map that tells sets of ``n`` shingles well apart."""
+    return 1 << min(20, max(PARITY.bit_length() - 1, (2 * n - 1).bit_length()))
+
+
+def folded(raw: pa.Buffer, size: int) -> np.ndarray:
+    """A parity map of so many bytes from one as long or longer (lengths are powers of two)."""
+    m = np.frombuffer(raw, np.uint64)
+    while m.nbytes > size:
+        m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+    return m
+
+
+def set_fingerprint(s: np.ndarray) -> bytes:
+    """The 64 bits of ``fingerprint`` over a set of shingles, each counted once."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), CHUNK):
+        ones += np.unpackbits(s[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(s)).tobytes()
 
 
 def prefix(s: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -309,7 +338,9 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
     share = min(1_000_000, math.ceil(LOOKED_AT * 1e6 / max(1, docs.count())))
     picked = docs.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(1_000_000)) < share).dropDuplicates(["h"]).select("text")
-    found = picked.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).toArrow()
+    counted = picked.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
+    with scratch():
+        found = staged(counted).toArrow()
     s, c = found.column("s").to_numpy().view(np.uint64), found.column("c").to_numpy()
     by_count = np.lexsort((s, c))
     rank = np.empty(len(s), np.int64)
@@ -319,62 +350,83 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def shingled(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of its shingle set), n (its size), f (parity map) and keys (prefix) of every row."""
+    """doc_id, h (hash of the text), node (hash of its shingle set), n (its size), p (fingerprint), f (parity map), g (wide map) and keys (prefix) of every row."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
-    names = ["node", "n", "f", "keys"]
+    names = ["node", "n", "p", "f", "g", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, f, keys = [], [], [], []
+            node, n, p, f, g, keys = [], [], [], [], [], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), shingle)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 n.append(len(s))
+                p.append(set_fingerprint(s))
                 f.append(parity(s))
+                g.append(parity(s, wide(len(s))))
                 keys.append(prefix(s, similarity, *common.value).tobytes())
-            made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(f, pa.binary()), pa.array(keys, pa.binary())]
+            made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (p, f, g, keys))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *made], names=["doc_id", "h", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, node long, n int, f binary, keys binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, node long, n int, p binary, f binary, g binary, keys binary")
+
 
+def postings(classes: DataFrame) -> DataFrame:
+    """(key, node, label) for each shingle of a prefix that classes (node, label, keys) of more than one label have in their own.
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(key, node) for each shingle of a prefix that more than one class has in its own."""
+    A key with over ``SPLIT`` rows stays in any case, so that a task holds few.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column("keys").to_pylist()
-            node = np.repeat(b.column("node").to_numpy(), [len(x) // 8 for x in raw])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(node)], names=["key", "node"])
+            times = [len(x) // 8 for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in ("node", "label"))], names=["key", "node", "label"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, met = np.empty(0, np.int64), np.empty(0, np.int64), False
+        held = np.empty((3, 0), np.int64)  # the rows of the last key, as the next batch may go on with it
+        many = False  # whether those that went before them with this key had several labels
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node = np.concatenate((key, b.column("key").to_numpy())), np.concatenate((node, b.column("node").to_numpy()))
-            same = key[1:] == key[:-1]
-            keep = np.concatenate(([met], same))[:-1] | same
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(node[:-1][keep])], names=["key", "node"])
-            # the last row may have its like in the next batch
-            met = bool(same[-1]) if len(same) else False
-            key, node = key[-1:], node[-1:]
-        if met:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
-
-    # equal sets have equal prefixes
-    keyed = rows.groupBy("node").agg(F.min("keys").alias("keys")).mapInArrow(each, "key long, node long").repartition("key").sortWithinPartitions("key")
-    return staged(keyed.mapInArrow(shared, "key long, node long"))
-
-
-def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> list[tuple[int, int]]:
-    """Pairs of rows of equal groups that sizes and parity maps let be similar.
-
-    A spanning forest of them, closest first, or ``every`` pair of different labels.
+            held = np.concatenate((held, np.stack([b.column(c).to_numpy() for c in ("key", "label", "node")])), axis=1)
+            key, label = held[0], held[1]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.cumsum(first) - 1
+            # rows are sorted by key and label
+            several = np.zeros(group[-1] + 1, bool)
+            several[0] = many
+            several[group[1:][~first[1:] & (label[1:] != label[:-1])]] = True
+            last = group == group[-1]
+            keep = several[group] & ~last
+            if several[-1] or last.sum() > SPLIT:  # its rows can go; one stays for its label
+                many, keep[:-1] = True, keep[:-1] | last[:-1]
+                rest = np.zeros(len(key), bool)
+                rest[-1] = True
+            else:
+                many, rest = False, last
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(held[k][keep]) for k in (0, 2, 1)], names=["key", "node", "label"])
+            held = held[:, rest]
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array(held[k]) for k in (0, 2, 1)], names=["key", "node", "label"])
+
+    keyed = classes.select("node", "label", "keys").mapInArrow(each, POSTING).repartition("key").sortWithinPartitions("key", "label")
+    return staged(keyed.mapInArrow(shared, POSTING))
+
+
+POSTING = "key long, node long, label long"
+
+
+def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal groups that sizes and parity maps let be similar, as index arrays.
+
+    A spanning forest of them over the labels, closest first, or ``every`` pair of different labels.
     """
-    root = np.arange(len(group))
-    out: list[tuple[int, int]] = []
+    _, root = np.unique(label, return_inverse=True)
+    # a label's rows in different groups are apart
+    _, root = np.unique(group * (root.max() + 1) + root, return_inverse=True)
     for share in (1.0,) if every else STEPS:
         at, step = np.arange(len(group)), 1
         while True:
@@ -382,8 +434,7 @@ def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarr
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            a = at[label[at] != label[at + step]]
-            a = a[root[a] != root[a + step]]
+            a = at[root[at] != root[at + step]]
             x, y = n[a], n[a + step]
             fits = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
             a, most = a[fits], (share * (1 - similarity) / (1 + similarity) * (x + y) + 1e-6)[fits]
@@ -392,23 +443,66 @@ def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarr
                 far += np.bitwise_count(f[a, k] ^ f[a + step, k])
             a = a[far <= most]
             if every:
-                out.extend((x, x + step) for x in a.tolist())
+                yield a, a + step
             elif len(a):
-                root = _joined(root, a, step, out)
+                found: list[tuple[int, int]] = []
+                root = _joined(root, a, step, found)
+                yield tuple(np.array(found, np.int64).reshape(-1, 2).T)
             step += 1
-    return out
 
 
 def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Different pairs (u, v), u < v, of ``met`` (key, node, n, f, label); see ``_candidates``."""
+    """Different pairs (u, v), u < v, of ``met`` (key, node, label, n, f); see ``_candidates``."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, label, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "label", "node"))
+        held, size = [], 0
+        for pair in _candidates(_groups(rows), _maps(rows), n, label, similarity, every):
+            held.append(node[np.stack(pair)])
+            size += held[-1].shape[1]
+            if size >= PAIRS:
+                yield ends(held)
+                held, size = [], 0
+        if size:
+            yield ends(held)
 
-    def work(rows: pa.Table) -> pa.RecordBatch | None:
-        n, label = rows.column("n").to_numpy().astype(np.int64), rows.column("label").to_numpy()
-        return _ends(rows, _candidates(_groups(rows), _maps(rows), n, label, similarity, every))
+    def ends(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(np.concatenate(held, axis=1), axis=0), axis=1)  # u < v; each once
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
-    # in one order of nodes everywhere, so that the buckets of a group of copies give the same forest
-    found = dealt(met).sortWithinPartitions("key", "i", "j", "node").mapInArrow(_by_group(work), "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return dealt(met).mapInArrow(_by_group(work), "u long, v long").distinct()
+
+
+def narrowed(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (u, v) without those that wide parity maps rule out.
+
+    A map is a fiftieth of its set's size, so nearly all false pairs go before a
+    set is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("nu").to_numpy().astype(np.int64) + b.column("nv").to_numpy()
+            far = np.zeros(len(n), np.int64)
+            for k, (x, y) in enumerate(zip(b.column("gu"), b.column("gv"))):
+                x, y = x.as_buffer(), y.as_buffer()
+                size = min(len(x), len(y))
+                far[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            yield b.select(["u", "v"]).filter(pa.array(far <= (1 - similarity) / (1 + similarity) * n + 1e-6))
+
+    at = lambda side: classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("g").alias(f"g{side}"))
+    return pairs.join(at("u"), "u").join(at("v"), "v").select("u", "v", "nu", "nv", "gu", "gv").mapInArrow(run, "u long, v long")
+
+
+def packed_set(s: np.ndarray) -> bytes:
+    """48 bits of each hash: two texts of 20,000 words have a shingle too many in common once in a million."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(raw: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -429,7 +523,7 @@ def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column("text")], pa.binary())], names=["node", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([packed_set(shingles(t.as_py(), shingle)) for t in b.column("text")], pa.binary())], names=["node", "s"])
 
     # one of repeated texts, combined map-side
     texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(some, "h long, text string").groupBy("h").agg(F.first("text").alias("text"))
@@ -443,51 +537,92 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column("su"), b.column("sv")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked_set(x.as_buffer()), unpacked_set(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
     at = lambda side: sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}"))
-    return staged(pairs.join(at("u"), "u").join(at("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, ok boolean"))
+    return staged(pairs.join(at("u"), "u").join(at("v"), "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, ok boolean"), lasting=True)
 
 
-def near_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node and component of ``rows`` (``shingled`` of ``docs``) under all links at ``similarity`` or more.
+def still_apart(slim: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``slim`` (key, node) with their labels, where a key has several."""
+    met = staged(slim.select("key", "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    several = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    out = staged(met.join(several, "key"))
+    forgotten(met)
+    return out
 
-    A forest of each bucket's candidates is tested first.  What is confirmed
-    joins classes; then every candidate pair that is still apart and wasn't
-    tested is tested too, so a false link hides no true one.
-    """
-    classes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n"), F.min("f").alias("f")))
-    slim = postings(rows)
-    maps = classes.select("node", "n", "f")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs)
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        return compared(pairs, sets_of(classes.join(ends, "node"), docs, shingle), similarity)
+def _relabelled(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of ``roots`` where each root has gone over to its own in ``more`` (node, root)."""
+    by = more.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    gone = roots.join(by, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    return staged(gone.union(more.join(roots, "node", "left_anti").select("node", "root")))
 
-    tested = checked(candidates(slim.join(maps, "node").withColumn("label", F.col("node")), similarity, every=False))
-    roots = components(tested.where("ok").select("u", "v"))
-    apart = staged(slim.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
-    several = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = checked(candidates(apart.join(several, "key").join(maps, "node"), similarity, every=True).join(tested, ["u", "v"], "left_anti"))
-    sure = tested.where("ok").union(rest.where("ok")).select("u", "v")
-    return named(classes.select("node", "first"), sure, "node")
+
+def near_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, h and component (least struct (doc_id, h)) of every row of ``docs`` under all links at ``similarity`` or more.
+
+    Three searches, each confirmed on the shingle sets, so that no link is false:
+    fingerprints that share a block and are within ``DISTANCE`` bits; a forest of
+    the pairs that share a prefix's shingle and are still apart; and then every
+    such pair that is still apart and wasn't tested, so that a false link hides
+    no true one.
+    """
+    rows = staged(shingled(docs, shingle, similarity))
+    members = staged(rows.select("doc_id", "h", "node"))
+    whole = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "f", "g", "keys"))))
+    forgotten(rows)
+    classes = staged(whole.select("node", "first", "n", "f", "g"))
+
+    def checked(found: DataFrame) -> DataFrame | None:
+        """The pairs (u, v) of ``found``, with ok."""
+        with scratch():
+            pairs = staged(narrowed(found, classes, similarity))
+            if pairs.isEmpty():
+                return None
+            ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+            return compared(pairs, sets_of(classes.select("node", "first").join(ends, "node"), docs, shingle), similarity)
+
+    def merged(roots: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """Roots after the confirmed links: components of the labels, which are far fewer than the nodes."""
+        if tested is None:
+            return roots
+        label = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        sure = tested.where("ok").join(label("u"), "u", "left").join(label("v"), "v", "left")
+        return _relabelled(roots, components(sure.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))))
+
+    by_blocks = links(whole.select("node", F.col("p").alias("f")), exact_tables(whole.count(), DISTANCE), DISTANCE)
+    tests = [checked(by_blocks.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())]
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = none if tests[0] is None else components(tests[0].where("ok").select("u", "v"))
+    slim = postings(whole.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")))
+    forgotten(whole)
+    for every in (False, True):
+        met = still_apart(slim, roots)
+        if met.isEmpty():
+            break
+        found = candidates(met.join(classes.select("node", "n", "f"), "node"), similarity, every)
+        for t in tests if every else ():
+            found = found if t is None else found.join(t, ["u", "v"], "left_anti")
+        tests.append(checked(found))
+        roots = merged(roots, tests[-1])
+    return members.join(named(classes.select("node", "first"), roots, "node"), "node")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one of least doc_id.
 
     Near copies are texts whose sets of shingles have this similarity (Jaccard)
-    or more, and what they reach.  The links are exact: texts of equal sets are
-    one class, candidates share a shingle of their prefixes, and sets decide.
+    or more, and what they reach.  Texts of equal sets are one class.  The blocks
+    of SimHash fingerprints find most links; as 64 bits can't tell 0.8 from less,
+    what they leave apart is searched exactly by prefixes; the sets decide always.
     """
-    rows = staged(shingled(docs, shingle, similarity))
-    groups = near_groups(rows, docs, shingle, similarity)
-    marked = rows.join(groups, "node").select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
-    keys = staged(marked.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")))
+    with scratch():
+        marked = near_groups(docs, shingle, similarity).select("doc_id", "h", F.struct("doc_id", "h").eqNullSafe(F.col("component")).alias("first"))
+        keys = staged(marked.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")), lasting=True)
     gone = keys.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
     kept = docs.join(gone, same, "left_anti")
