@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapane.llm import decontam, language, pieces, secrets, simhash
-from terrapane.llm.common import staged, table
+from terrapane.llm.common import forgotten, scratch, staged, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before = docs
+        with scratch():
+            docs = staged(stage(spark, before, sf_dir), lasting=True)
+        if k:
+            forgotten(before)
     return docs
