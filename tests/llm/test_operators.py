@@ -113,6 +113,59 @@ def test_language(spark, tmp_path, sf):
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in odd if r["doc_id"] in (2, 3, 7))
 
 
+def brute_language(text, model):
+    """Language and cosine of a text, gram by gram with Python's integers."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low):
+        return "und", 0.0
+    c = [ord(x) if x.isalpha() else 32 for x in low]
+    m, bins = (1 << 32) - 1, Counter()
+    for i in range(len(c)):
+        h = c[i] * 0x9E3779B1 & m
+        bins[h >> 20] += 1
+        for k, (a, b) in enumerate(((0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1)), 1):
+            if i + k < len(c):
+                h = (h ^ (c[i + k] * a & m)) * b & m
+                bins[h >> 20] += 1
+    v = {k: math.log1p(n) * float(model.idf[k]) for k, n in bins.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    near = [sum(x * float(row[k]) for k, x in v.items()) / norm for row in model.centroids]
+    best = max(range(len(near)), key=near.__getitem__)
+    return model.languages[model.owner[best]], min(1.0, max(0.0, near[best]))
+
+
+def test_language_against_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(d.where(~language.held_out()))
+    texts = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()] + [(10**6 + k, t) for k, (_, t, _, _) in enumerate(TEXTS)]
+    got = {r["doc_id"]: r for r in language.predicted(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        lang, score = brute_language(t, model)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4
+
+
+FOREIGN = [
+    "Это предложение написано на русском языке и не должно быть принято моделью как знакомый язык.",
+    "これは日本語で書かれた文章です。機械学習のための大規模なデータを処理します。" * 3,
+    "zxqv wkjh qqzx vvkj xzzq hjkw qxzv kkwj zqqx jhvk wzxq vkqj xhzw qjvk zzxq wkvh jqxz" * 4,
+]
+
+
+def test_language_rejects_by_length(spark):
+    """Short ordinary texts stay, foreign ones go; hardly any row of the table goes."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(d.where(~language.held_out()))
+    short = ["All rights reserved.", "the house", "Erö.", "la casa", "und dann"]
+    assert model.predict(FOREIGN)[2].all() and not model.predict(short)[2].any()
+    assert language.predicted(d, model).where("rejected").count() <= 0.002 * d.count()
+
+
+def test_language_with_more_languages_than_rows_to_learn_from(spark):
+    d = spark.createDataFrame([(k, f"{chr(97 + k) * 3} {chr(98 + k) * 2} word{chr(99 + k)}" * 5, f"l{k}") for k in range(20)] * 2, "doc_id long, text string, lang string")
+    got = language.predicted(d, language.fit(d, train_rows=5)).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']}" for r in got)
+
+
 def test_language_counts_in_pieces(monkeypatch):
     whole = language.counts(LONG[:5000] + "é")
     monkeypatch.setattr(language, "PIECE", 64)
