@@ -270,15 +270,15 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "f").select("doc_id", F.lower(F.hex("f")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-#: Bits of a set's parity map; documents looked at for common shingles, and in how many of them one is common.
-PARITY, LOOKED_AT, COMMON = 512, 10_000, 4
+#: Bits of the parity maps that travel with postings, by the set's size; documents looked at for common shingles, and in how many of them one is common.
+LEVELS, LOOKED_AT, COMMON = (512, 1024, 2048), 10_000, 4
 #: Shares of the greatest distance at which links are tried, closest first.
 STEPS = (0.4, 0.7, 1.0)
 #: Pairs that leave a task at once.
 PAIRS = 1 << 16
 
 
-def parity(s: np.ndarray, bits: int = PARITY) -> bytes:
+def parity(s: np.ndarray, bits: int = LEVELS[0]) -> bytes:
     """Whether an odd number of the set's hashes falls on each bit.
 
     Two maps differ in at most as many bits as the sets have shingles that only
@@ -289,7 +289,7 @@ def parity(s: np.ndarray, bits: int = PARITY) -> bytes:
 
 def wide(n: int) -> int:
     """Bits of the parity map that tells sets of ``n`` shingles well apart."""
-    return 1 << min(20, max(PARITY.bit_length() - 1, (2 * n - 1).bit_length()))
+    return 1 << min(20, max(LEVELS[0].bit_length() - 1, (2 * n - 1).bit_length()))
 
 
 def folded(raw: pa.Buffer, size: int) -> np.ndarray:
@@ -362,7 +362,7 @@ def shingled(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 n.append(len(s))
                 p.append(set_fingerprint(s))
-                f.append(parity(s))
+                f.append(parity(s, next((b for b in LEVELS if 5 * b >= 3 * len(s)), LEVELS[-1])))
                 g.append(parity(s, wide(len(s))))
                 keys.append(prefix(s, similarity, *common.value).tobytes())
             made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (p, f, g, keys))]
@@ -373,7 +373,7 @@ def shingled(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, node, label) for each shingle of a prefix that classes (node, label, keys) of more than one label have in their own.
+    """(key, node, label, pos) for each shingle of a prefix, pos its place there, that classes (node, label, keys) of more than one label have in their own.
 
     A key with over ``SPLIT`` rows stays in any case, so that a task holds few.
     """
@@ -382,16 +382,17 @@ def postings(classes: DataFrame) -> DataFrame:
         for b in batches:
             raw = b.column("keys").to_pylist()
             times = [len(x) // 8 for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in ("node", "label"))], names=["key", "node", "label"])
+            place = np.concatenate([np.arange(n, dtype=np.int64) for n in times] or [np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in ("node", "label")), pa.array(place)], names=POSTED)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((3, 0), np.int64)  # the rows of the last key, as the next batch may go on with it
+        held = np.empty((4, 0), np.int64)  # the rows of the last key, as the next batch may go on with it
         many = False  # whether those that went before them with this key had several labels
         for b in batches:
             if not b.num_rows:
                 continue
-            held = np.concatenate((held, np.stack([b.column(c).to_numpy() for c in ("key", "label", "node")])), axis=1)
-            key, label = held[0], held[1]
+            held = np.concatenate((held, np.stack([b.column(c).to_numpy() for c in POSTED])), axis=1)
+            key, label = held[0], held[2]
             first = np.concatenate(([True], key[1:] != key[:-1]))
             group = np.cumsum(first) - 1
             # rows are sorted by key and label
@@ -407,26 +408,30 @@ def postings(classes: DataFrame) -> DataFrame:
             else:
                 many, rest = False, last
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(held[k][keep]) for k in (0, 2, 1)], names=["key", "node", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in held], names=POSTED)
             held = held[:, rest]
         if many:
-            yield pa.RecordBatch.from_arrays([pa.array(held[k]) for k in (0, 2, 1)], names=["key", "node", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=POSTED)
 
     keyed = classes.select("node", "label", "keys").mapInArrow(each, POSTING).repartition("key").sortWithinPartitions("key", "label")
     return staged(keyed.mapInArrow(shared, POSTING))
 
 
-POSTING = "key long, node long, label long"
+POSTED = ["key", "node", "label", "pos"]
+POSTING = ", ".join(f"{c} long" for c in POSTED)
 
 
-def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of equal groups that sizes and parity maps let be similar, as index arrays.
+def _candidates(group: np.ndarray, f: list[np.ndarray], size: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal groups that sizes, places and parity maps let be similar, as index arrays.
 
-    A spanning forest of them over the labels, closest first, or ``every`` pair of different labels.
+    A spanning forest of them over the labels, closest first, or ``every`` pair of
+    different labels.  In the bucket of the first shingle that two sets share, all
+    they share lies from its place on, so as many shingles must be left in both.
     """
     _, root = np.unique(label, return_inverse=True)
     # a label's rows in different groups are apart
     _, root = np.unique(group * (root.max() + 1) + root, return_inverse=True)
+    left = n - pos
     for share in (1.0,) if every else STEPS:
         at, step = np.arange(len(group)), 1
         while True:
@@ -437,11 +442,14 @@ def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarr
             a = at[root[at] != root[at + step]]
             x, y = n[a], n[a + step]
             fits = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+            fits &= np.minimum(left[a], left[a + step]) >= similarity / (1 + similarity) * (x + y) - 1e-6
             a, most = a[fits], (share * (1 - similarity) / (1 + similarity) * (x + y) + 1e-6)[fits]
-            far = np.zeros(len(a), np.uint16)
-            for k in range(f.shape[1]):
-                far += np.bitwise_count(f[a, k] ^ f[a + step, k])
-            a = a[far <= most]
+            for level, maps in zip(LEVELS, f):
+                far = np.zeros(len(a), np.uint16)
+                for k in range(maps.shape[1]):
+                    far += np.bitwise_count(maps[a, k] ^ maps[a + step, k])
+                near = (far <= most) | (np.minimum(size[a], size[a + step]) < level)
+                a, most = a[near], most[near]
             if every:
                 yield a, a + step
             elif len(a):
@@ -451,13 +459,25 @@ def _candidates(group: np.ndarray, f: np.ndarray, n: np.ndarray, label: np.ndarr
             step += 1
 
 
+def _levels(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Parity maps at each of ``LEVELS``, zero where a row's own is shorter; and the rows' bits."""
+    raw = [x.as_buffer() for x in rows.column("f")]
+    size = np.fromiter((8 * len(x) for x in raw), np.int64, len(raw))
+    out = [np.zeros((len(raw), bits // 64), np.uint64) for bits in LEVELS]
+    for k, x in enumerate(raw):
+        for maps in out:
+            if len(x) >= maps.shape[1] * 8:
+                maps[k] = folded(x, maps.shape[1] * 8)
+    return out, size
+
+
 def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Different pairs (u, v), u < v, of ``met`` (key, node, label, n, f); see ``_candidates``."""
+    """Different pairs (u, v), u < v, of ``met`` (key, node, pos, label, n, f); see ``_candidates``."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        n, label, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "label", "node"))
+        n, pos, label, node = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label", "node"))
         held, size = [], 0
-        for pair in _candidates(_groups(rows), _maps(rows), n, label, similarity, every):
+        for pair in _candidates(_groups(rows), *_levels(rows), n, pos, label, similarity, every):
             held.append(node[np.stack(pair)])
             size += held[-1].shape[1]
             if size >= PAIRS:
@@ -547,8 +567,8 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def still_apart(slim: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``slim`` (key, node) with their labels, where a key has several."""
-    met = staged(slim.select("key", "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    """Rows of ``slim`` (key, node, pos) with their labels, where a key has several."""
+    met = staged(slim.select("key", "node", "pos").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
     several = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     out = staged(met.join(several, "key"))
     forgotten(met)
