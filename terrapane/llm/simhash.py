@@ -496,7 +496,7 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
 def narrowed(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (u, v) without those that wide parity maps rule out.
 
-    A map is a fiftieth of its set's size, so nearly all false pairs go before a
+    A map is a twelfth of its set's size or less, so nearly all false pairs go before a
     set is read.
     """
 
