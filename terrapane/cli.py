@@ -46,10 +46,11 @@ def parser() -> argparse.ArgumentParser:
     for name, what in (("update", "both kinds of registry and the master"), ("update-representations", "the arrays' registries"), ("update-tiles", "the land masks' registries")):
         c = sub.add_parser(name, help=what)
         c.add_argument("--registry-dir")
-        c.add_argument("--workers", type=int, help="partitions to hash in")
+        c.add_argument("--workers", type=int, help="tasks to hash files in")
         c.add_argument("--force", action="store_true")
         c.add_argument("--skip-checksum", action="store_true")
         c.add_argument("--prune", action="store_true")
+        c.add_argument("--entries", help="also write all entries into this one file")
     c = sub.add_parser("list", help="registry files and their entries")
     c.add_argument("--registry-dir")
     return p
@@ -60,8 +61,9 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if getattr(a, "limit", None) is not None and a.limit < 0:
         p.error("--limit is negative")
-    more = {"spark.sql.shuffle.partitions": str(a.workers)} if getattr(a, "workers", None) else {}
-    spark = session(master=a.master, **more)
+    if (getattr(a, "workers", None) or 1) < 1:
+        p.error("--workers is not positive")
+    spark = session(master=a.master)
     engine = Engine(spark, a.root)
     if a.command == "list-embeddings":
         left = 0
@@ -93,9 +95,11 @@ def main(argv: list[str] | None = None) -> int:
         for r in registry.listing(spark, a.registry_dir or engine.registry).collect():
             print(f"{r['name']}: {r['n']:,}")
     else:
-        options = {"registry": a.registry_dir, "force": a.force, "checksum": not a.skip_checksum, "prune": a.prune}
+        options = {"registry": a.registry_dir, "force": a.force, "checksum": not a.skip_checksum, "prune": a.prune, "workers": a.workers}
         go = {"update": registry.update, "update-representations": registry.update_embeddings, "update-tiles": registry.update_masks}[a.command]
         print(f"{go(spark, a.root, **options).count():,} entries")
+        if a.entries:
+            registry.write_entries(spark, a.registry_dir or engine.registry, a.entries)
     return 0
 
 

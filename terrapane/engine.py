@@ -57,6 +57,10 @@ class Engine:
         """Registry paths that a local copy of the arrays lacks or has with other contents."""
         return registry.stale_paths(self._entries("registry_[0-9]*_lon*_lat*.txt"), registry.files(self.spark, copy, "*.npy", content=True))
 
+    def _array_entries(self) -> DataFrame:
+        """One hash a path, as for an update."""
+        return registry.known(self.spark, self.registry, "registry_[0-9]*_lon*_lat*.txt")
+
     # single tiles
 
     def embedding(self, lat: float, lon: float, year: int = 2024, bands: Sequence[int] | None = None, snap: bool = False) -> DataFrame:
@@ -66,7 +70,7 @@ class Engine:
         if known.isEmpty():
             raise LookupError(f"no tile at {lat}, {lon} in {year}")
         name = f"grid_{lon_c / 100:.2f}_{lat_c / 100:.2f}"
-        return npy.read_pixels(self.spark, f"{self.arrays}/{year}/{name}", bands=bands, dequantize=True).select("py", "px", "embedding")
+        return npy.read_pixels(self.spark, f"{self.arrays}/{year}/{name}", bands=bands, dequantize=True, entries=self._array_entries()).select("py", "px", "embedding")
 
     def _pixels(self, tiles: DataFrame, bands: Sequence[int]) -> DataFrame:
         """year, lon_c, lat_c, py, px, q, scale of tiles; q holds the chosen bands alone, in order.
@@ -76,7 +80,7 @@ class Engine:
         rows = tiles.select(F.concat_ws("/", F.col("year").cast("string"), grid.tile_name(F.col("lon_c"), F.col("lat_c"))).alias("d")).distinct().collect()  # a row for each tile of the request
         if not rows:
             raise LookupError("no tile meets the region")
-        return npy.read_pixels(self.spark, [f"{self.arrays}/{r['d']}" for r in rows], bands=bands)
+        return npy.read_pixels(self.spark, [f"{self.arrays}/{r['d']}" for r in rows], bands=bands, entries=self._array_entries())
 
     def export_tile(self, lat: float, lon: float, out: str, year: int = 2024, bands: Sequence[int] = (0, 1, 2), normalize: bool = True) -> None:
         """One tile as an RGB GeoTIFF in EPSG:4326."""

@@ -34,8 +34,20 @@ def read_registries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_master(spark: SparkSession, root: str) -> DataFrame:
-    """Name and hash of every registry file."""
-    return parse_lines(spark.read.text(f"{root}/registry.txt"))
+    """Name and hash of every registry file; the first line of a repeated name counts."""
+    return first_wins(numbered_lines(spark, f"{root}/registry.txt"), "at")
+
+
+def numbered_lines(spark: SparkSession, files: str, raw: bool = False) -> DataFrame:
+    """path, hash and ``at`` (file name, line number) of registry files' entries; ``raw``: value and ``at``.
+
+    A file is read whole, as a block holds a few thousand lines, so a line's
+    number is its place and not a matter of scheduling.
+    """
+    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = lines.select(F.struct("file", "line").alias("at"), F.btrim("value", F.lit(SPACE)).alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
+    return lines if raw else parse_lines(lines)
 
 
 def last_wins(entries: DataFrame, order: str = "line_no") -> DataFrame:
@@ -43,10 +55,16 @@ def last_wins(entries: DataFrame, order: str = "line_no") -> DataFrame:
     return entries.groupBy("path").agg(F.max_by("hash", order).alias("hash"))
 
 
+def first_wins(entries: DataFrame, order: str = "line_no") -> DataFrame:
+    """One hash a path: the first of its lines."""
+    return entries.groupBy("path").agg(F.min_by("hash", order).alias("hash"))
+
+
 def with_hash(names: DataFrame, master: DataFrame, name: str = "name") -> DataFrame:
     """names with ``hash``, null where the master has none.
 
-    A plain left join: Spark broadcasts the master if it is small enough.
+    A plain left join: Spark broadcasts the master if it is small enough.  The
+    master's names differ, as ``read_master`` gives them.
     """
     return names.join(master.select(F.col("path").alias(name), "hash"), name, "left")
 

@@ -1,7 +1,7 @@
 """Registry maintenance: scan files, hash what is new, merge, write.
 
-The old registry joins the scan before contents are read, so an update hashes
-new files only; ``force`` hashes all and keeps what changed.
+A scan lists paths alone.  The old registry joins it before any file is opened, so
+an update reads new files only; ``force`` hashes all and keeps what changed.
 """
 
 from __future__ import annotations
@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 
 from terrapane.functions import grid
 from terrapane.operators import catalog
+from terrapane.sources.files import with_sha256
 
 EMBEDDINGS, MASKS = "global_0.1_degree_representation", "global_0.1_degree_tiff_all"
 
 
-def files(spark: SparkSession, root: str, pattern: str, content: bool = False) -> DataFrame:
-    """path (relative to ``root``) and, if asked for, sha256 of files in all folders below."""
+def files(spark: SparkSession, root: str, pattern: str, content: bool = False, known: DataFrame | None = None, workers: int | None = None) -> DataFrame:
+    """path (relative to ``root``) and, if asked for, sha256 of files in all folders below.
+
+    Paths of ``known`` are left out before any file is read.  A listing takes no
+    contents: ``binaryFile`` reads none where the column isn't used.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     # paths come back with a scheme; what follows the root's own name and a slash is relative
     base = root.split("://", 1)[-1].rstrip("/")
     relative = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "")
-    return found.select(relative.alias("path"), *([F.sha2("content", 256).alias("hash")] if content else []))
+    rows = found.select(relative.alias("path"), F.col("path").alias("file"))
+    rows = rows if known is None else new_paths(rows, known)
+    return with_sha256(rows, "file", workers) if content else rows.select("path")
 
 
 def _quoted(s: str) -> str:
@@ -87,41 +94,43 @@ def write_lines(entries: DataFrame, out: str, file: Column) -> list[str]:
     return sorted(names)
 
 
-def _old(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def known(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path and hash of a registry's entries; of a repeated path the last line's."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     if not found:
         return spark.createDataFrame([], "path string, hash string")
-    return catalog.parse_lines(spark.read.text(f"{folder}/{pattern}")).groupBy("path").agg(F.max("hash").alias("hash"))
+    return catalog.last_wins(catalog.numbered_lines(spark, f"{folder}/{pattern}"), "at")
 
 
-def _updated(spark: SparkSession, root: str, pattern: str, old: DataFrame, force: bool, checksum: bool, prune: bool) -> DataFrame:
+def _updated(spark: SparkSession, root: str, pattern: str, old: DataFrame, force: bool, checksum: bool, prune: bool, workers: int | None) -> DataFrame:
     """path, hash and status after a scan of ``root``."""
     if not checksum:
         names = files(spark, root, pattern).withColumn("hash", F.lit(None).cast("string"))
         return merged(old, names.join(old.select("path", F.col("hash").alias("__h")), "path", "left").select("path", F.coalesce("hash", "__h").alias("hash")), prune)
-    if force or prune:
-        return merged(old, files(spark, root, pattern, content=True), prune)
-    # only files that the registry lacks are read
-    todo = new_paths(files(spark, root, pattern), old)
-    return merged(old, files(spark, root, pattern, content=True).join(todo, "path", "left_semi"))
+    if force:
+        return merged(old, files(spark, root, pattern, content=True, workers=workers), prune)
+    new = files(spark, root, pattern, content=True, known=old, workers=workers)
+    if prune:  # known files that are still there keep their hash unread
+        new = new.unionByName(old.join(files(spark, root, pattern), "path", "left_semi").select("path", "hash"))
+    return merged(old, new, prune)
 
 
-def update_embeddings(spark: SparkSession, base: str, registry: str | None = None, force: bool = False, checksum: bool = True, prune: bool = False) -> DataFrame:
+def update_embeddings(spark: SparkSession, base: str, registry: str | None = None, force: bool = False, checksum: bool = True, prune: bool = False, workers: int | None = None) -> DataFrame:
     """Bring the block registries of the embeddings up to date; returns what they hold."""
     registry = registry or f"{base}/{grid.REGISTRY_FOLDER}"
-    now = _updated(spark, f"{base}/{EMBEDDINGS}", "*.npy", _old(spark, registry, "registry_[0-9]*_lon*_lat*.txt"), force, checksum, prune)
+    now = _updated(spark, f"{base}/{EMBEDDINGS}", "*.npy", known(spark, registry, "registry_[0-9]*_lon*_lat*.txt"), force, checksum, prune, workers)
     at = catalog.scanned_arrays(now).cache()
     names = write_lines(at, registry, grid.block_file(F.col("year"), F.col("block_lon"), F.col("block_lat")))
     _write_names(spark, f"{registry}/registry_index.txt", names)
     return at
 
 
-def update_masks(spark: SparkSession, base: str, registry: str | None = None, force: bool = False, checksum: bool = True, prune: bool = False) -> DataFrame:
+def update_masks(spark: SparkSession, base: str, registry: str | None = None, force: bool = False, checksum: bool = True, prune: bool = False, workers: int | None = None) -> DataFrame:
     """The same for land masks, which have no year."""
     registry = registry or f"{base}/{grid.REGISTRY_FOLDER}"
-    now = _updated(spark, f"{base}/{MASKS}", "*.tiff", _old(spark, registry, "registry_tiles_lon*_lat*.txt"), force, checksum, prune)
+    now = _updated(spark, f"{base}/{MASKS}", "*.tiff", known(spark, registry, "registry_tiles_lon*_lat*.txt"), force, checksum, prune, workers)
     at = catalog.scanned_masks(now).cache()
     names = write_lines(at, registry, grid.tiles_block_file(F.col("block_lon"), F.col("block_lat")))
     _write_names(spark, f"{registry}/tiles_registry_index.txt", names)
@@ -144,6 +153,23 @@ def write_master(spark: SparkSession, registry: str) -> DataFrame:
     return found
 
 
+def write_entries(spark: SparkSession, registry: str, out: str) -> None:
+    """All block registries' entries in one file, in order of file and line.
+
+    Blank lines and comments go.  One task merges the sorted lines: a line is some
+    hundred bytes, and the file is one by definition.
+    """
+    lines = catalog.numbered_lines(spark, f"{registry}/registry_*_lon*_lat*.txt", raw=True)
+    staging = f"{out.rstrip('/')}_staging"
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").coalesce(1).write.mode("overwrite").text(staging)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(p.getPath() for p in fs.listStatus(path(staging)) if p.getPath().getName().startswith("part-"))
+    fs.delete(path(out), False)
+    fs.rename(part, path(out))
+    fs.delete(path(staging), True)
+
+
 def update(spark: SparkSession, base: str, **options) -> DataFrame:
     """Both kinds where their folders exist, then the master."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

@@ -1,16 +1,18 @@
 """Quantized arrays and their scales as pixel rows.
 
-``binaryFile`` gives Spark the files; an Arrow function decodes them in row
-strips and keeps only the bands asked for, so all channels of a tile are never
-expanded at once.
+Spark lists and pairs paths; an Arrow function opens a tile's two files and
+decodes them in row strips of the bands asked for.  So no contents are shuffled,
+and neither a whole tile nor all its channels are expanded at once.
 """
 
 from __future__ import annotations
 
 import ast
 import io
+import math
 import struct
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +20,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapane.functions import grid, pixel
+from terrapane.sources import files
 
 STRIP = 64  # rows of a tile that are turned into Arrow at once
 
 
-def decode(data: bytes) -> np.ndarray:
-    """An array of NPY format 1 to 3, without pickles."""
-    if data[:6] != b"\x93NUMPY":
+def head(f: BinaryIO) -> tuple[np.dtype, tuple[int, ...], str, int]:
+    """Type, shape, order and start of the values of an NPY file of format 1 to 3, without pickles."""
+    lead = f.read(12)
+    if lead[:6] != b"\x93NUMPY":
         raise ValueError("not an NPY file")
-    size, start = (struct.unpack("<H", data[8:10])[0], 10) if data[6] == 1 else (struct.unpack("<I", data[8:12])[0], 12)
-    head = ast.literal_eval(data[start : start + size].decode("latin1"))
-    kind = np.dtype(head["descr"])
+    size, start = (struct.unpack("<H", lead[8:10])[0], 10) if lead[6] == 1 else (struct.unpack("<I", lead[8:12])[0], 12)
+    f.seek(start)
+    fields = ast.literal_eval(f.read(size).decode("latin1"))
+    kind = np.dtype(fields["descr"])
     if kind.hasobject:
         raise ValueError("object arrays aren't read")
-    flat = np.frombuffer(data, kind, offset=start + size, count=int(np.prod(head["shape"], dtype=np.int64)))
-    return flat.reshape(head["shape"], order="F" if head["fortran_order"] else "C")
+    return kind, fields["shape"], "F" if fields["fortran_order"] else "C", start + size
+
+
+def rows(f: BinaryIO, about: tuple[np.dtype, tuple[int, ...], str, int], top: int, bottom: int) -> np.ndarray:
+    """Rows ``top`` to ``bottom`` of an array; column-major ones are read whole."""
+    kind, shape, order, start = about
+    if order == "F":
+        f.seek(start)
+        return np.frombuffer(f.read(kind.itemsize * math.prod(shape)), kind).reshape(shape, order="F")[top:bottom]
+    step, bottom = kind.itemsize * math.prod(shape[1:]), min(bottom, shape[0])
+    f.seek(start + top * step)
+    return np.frombuffer(f.read((bottom - top) * step), kind).reshape(bottom - top, *shape[1:])
+
+
+def decode(data: bytes) -> np.ndarray:
+    f = io.BytesIO(data)
+    about = head(f)
+    return rows(f, about, 0, about[1][0]) if about[1] else np.frombuffer(data, about[0], offset=about[3]).reshape(())
 
 
 def encode(array: np.ndarray) -> bytes:
@@ -41,41 +62,57 @@ def encode(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def read_pixels(spark: SparkSession, root: str | list[str], tiles: DataFrame | None = None, bands: Sequence[int] | None = None, dequantize: bool = False) -> DataFrame:
+def read_pixels(spark: SparkSession, root: str | list[str], tiles: DataFrame | None = None, bands: Sequence[int] | None = None, dequantize: bool = False, entries: DataFrame | None = None) -> DataFrame:
     """year, lon_c, lat_c, py, px and the chosen bands of all tiles below ``root``, or of ``tiles`` alone.
 
     Without ``dequantize``: q array<int> and scale; with it: embedding
-    array<float>.  A tile's two files meet by their common name; both sides are
-    file listings until the join, which is on paths.
+    array<float>.  A tile's two files meet by their common folder, as paths; their
+    contents are read by the task that decodes them.  With ``entries`` (path and
+    hash of the registry) a file whose SHA-256 differs from its entry is an error.
     """
     bands = None if bands is None else pixel.checked_bands(bands)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(root)
     parts = F.split("path", "/")
     at = grid.parsed_grid_name(F.element_at(parts, -2))
-    rows = found.select(F.get(parts, F.size(parts) - 3).cast("int").alias("year"), grid.hundredths(at["lon"]).alias("lon_c"), grid.hundredths(at["lat"]).alias("lat_c"), F.endswith("path", F.lit("_scales.npy")).alias("s"), "content")
+    listed = found.select(F.get(parts, F.size(parts) - 3).cast("int").alias("year"), grid.hundredths(at["lon"]).alias("lon_c"), grid.hundredths(at["lat"]).alias("lat_c"), F.endswith("path", F.lit("_scales.npy")).alias("s"), "path")
     if tiles is not None:
-        rows = rows.join(tiles.select("year", "lon_c", "lat_c").distinct(), ["year", "lon_c", "lat_c"], "left_semi")
-    pairs = rows.groupBy("year", "lon_c", "lat_c").agg(F.first(F.when(~F.col("s"), F.col("content")), ignorenulls=True).alias("e"), F.first(F.when(F.col("s"), F.col("content")), ignorenulls=True).alias("c")).where("e is not null and c is not null")
+        listed = listed.join(tiles.select("year", "lon_c", "lat_c").distinct(), ["year", "lon_c", "lat_c"], "left_semi")
+    if entries is None:
+        listed = listed.withColumn("hash", F.lit(None).cast("string"))
+    else:
+        known = entries.select(F.col("path").alias("__name"), "hash")
+        listed = listed.withColumn("__name", F.concat_ws("/", F.slice(F.split("path", "/"), -3, 3))).join(known, "__name", "left")
+    one = lambda s, name: F.min(F.when(F.col("s") == F.lit(s), F.struct("path", "hash"))).alias(name)
+    pairs = listed.groupBy("year", "lon_c", "lat_c").agg(one(False, "e"), one(True, "c")).where("e is not null and c is not null")
+    pairs = pairs.select("year", "lon_c", "lat_c", *(F.col(f"{k}.{v}").alias(f"{k}_{v}") for k in "ec" for v in ("path", "hash")))
+
+    def strips(tile: dict) -> Iterator[pa.RecordBatch]:
+        key = [tile[c] for c in ("year", "lon_c", "lat_c")]
+        for k in "ec":
+            if tile[f"{k}_hash"] and files.sha256(tile[f"{k}_path"]) != tile[f"{k}_hash"]:
+                raise ValueError(f"{tile[f'{k}_path']} is not what the registry says")
+        with files.opened(tile["e_path"]) as e, files.opened(tile["c_path"]) as c:
+            of_e, of_c = head(e), head(c)
+            if of_e[1][:2] != of_c[1][:2]:
+                raise ValueError(f"array and scales of {key} differ in shape")
+            h, w = of_e[1][:2]
+            for top in range(0, h, STRIP):
+                part = rows(e, of_e, top, top + STRIP)
+                part = part if bands is None else part[:, :, bands]
+                scale = np.ascontiguousarray(rows(c, of_c, top, top + STRIP), np.float32).reshape(-1)
+                flat = part.reshape(-1, part.shape[2])
+                n, k = flat.shape
+                values = flat.astype(np.float32) * scale[:, None] if dequantize else flat.astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), pa.array(values.reshape(-1)))
+                place = np.arange(n)
+                cols = [*(pa.array(np.full(n, v, np.int32)) for v in key), pa.array((top + place // w).astype(np.int32)), pa.array((place % w).astype(np.int32)), lists]
+                names = ["year", "lon_c", "lat_c", "py", "px", "embedding" if dequantize else "q"]
+                yield pa.RecordBatch.from_arrays(cols if dequantize else [*cols, pa.array(scale)], names=names if dequantize else [*names, "scale"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                key = [b.column(c)[r].as_py() for c in ("year", "lon_c", "lat_c")]
-                e, c = decode(b.column("e")[r].as_py()), decode(b.column("c")[r].as_py())
-                if e.shape[:2] != c.shape[:2]:
-                    raise ValueError(f"array and scales of {key} differ in shape")
-                h, w = e.shape[:2]
-                for top in range(0, h, STRIP):
-                    part = e[top : top + STRIP] if bands is None else e[top : top + STRIP][:, :, bands]
-                    scale = np.ascontiguousarray(c[top : top + STRIP], np.float32).reshape(-1)
-                    flat = part.reshape(-1, part.shape[2])
-                    n, k = flat.shape
-                    values = flat.astype(np.float32) * scale[:, None] if dequantize else flat.astype(np.int32)
-                    lists = pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), pa.array(values.reshape(-1)))
-                    place = np.arange(n)
-                    cols = [*(pa.array(np.full(n, v, np.int32)) for v in key), pa.array((top + place // w).astype(np.int32)), pa.array((place % w).astype(np.int32)), lists]
-                    names = ["year", "lon_c", "lat_c", "py", "px", "embedding" if dequantize else "q"]
-                    yield pa.RecordBatch.from_arrays(cols if dequantize else [*cols, pa.array(scale)], names=names if dequantize else [*names, "scale"])
+            for tile in b.to_pylist():
+                yield from strips(tile)
 
     tail = "embedding array<float>" if dequantize else "q array<int>, scale float"
     return pairs.mapInArrow(run, f"year int, lon_c int, lat_c int, py int, px int, {tail}")

@@ -11,7 +11,7 @@ import pytest
 
 from terrapane import cli
 from terrapane.engine import Engine
-from terrapane.operators import registry
+from terrapane.operators import catalog, registry
 from terrapane.serve import server
 from terrapane.sources import geotiff, npy, png
 from terrapane.streaming import ingest
@@ -88,6 +88,38 @@ def test_update_reads_new_files_only(spark, root, tmp_path):
     assert "2024/grid_5.05_50.05/grid_5.05_50.05.npy" not in {r["path"] for r in registry.update_embeddings(spark, str(base), prune=True).collect()}
 
 
+def test_update_opens_new_files_only(spark, root, tmp_path):
+    """A known file that can't be opened doesn't matter; a new one is hashed in as many tasks as asked for."""
+    import shutil
+
+    shutil.copytree(root, tmp_path / "r")
+    base = tmp_path / "r"
+    folder = base / registry.EMBEDDINGS / "2024/grid_5.05_50.05"
+    (folder / "grid_5.05_50.05.npy").write_bytes(b"changed")
+    (folder / "other.npy").write_bytes(b"new")
+    got = {r["path"]: (r["status"], r["hash"]) for r in registry.update_embeddings(spark, str(base), prune=True, workers=2).collect()}
+    assert got["2024/grid_5.05_50.05/other.npy"] == ("new", hashlib.sha256(b"new").hexdigest())
+    assert {s for s, _ in got.values()} == {"same", "new"} and hashlib.sha256(b"changed").hexdigest() not in {h for _, h in got.values()}
+    found = registry.files(spark, str(base / registry.EMBEDDINGS), "*.npy", content=True, workers=3)
+    assert found.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="not what the registry says"):
+        Engine(spark, str(base)).embedding(50.05, 5.05).collect()
+
+
+def test_repeated_lines(spark, tmp_path):
+    (tmp_path / "registry_2024_lon5_lat50.txt").write_text("a.npy ffff\n# a.npy 0\n\na.npy 1111\nb.npy 2 2\nc.npy\n")
+    (tmp_path / "registry.txt").write_text("m ffff\nm 1111\n")
+    got = registry.known(spark, str(tmp_path), "registry_[0-9]*_lon*_lat*.txt").collect()
+    assert sorted(map(tuple, got)) == [("a.npy", "1111"), ("b.npy", "2 2")]
+    assert [tuple(r) for r in catalog.read_master(spark, str(tmp_path)).collect()] == [("m", "ffff")]
+
+
+def test_entries_in_one_file(spark, root, tmp_path):
+    assert cli.main(["--root", str(root), "update", "--workers", "2", "--entries", f"{tmp_path}/all.txt"]) == 0
+    names = sorted(p for p in (root / "registry").iterdir() if "_lon" in p.name and not p.name.startswith("."))
+    assert (tmp_path / "all.txt").read_text().splitlines() == [x for p in names for x in p.read_text().splitlines()]
+
+
 def test_point_fetch(spark, root):
     e = Engine(spark, str(root))
     got = e.embedding(50.05, 5.15)
