@@ -122,6 +122,11 @@ def tile_box(lon_c: Column, lat_c: Column, anchor: str = "corner") -> Column:
     return F.struct(w.alias("min_lon"), s.alias("min_lat"), (w + F.lit(0.1)).alias("max_lon"), (s + F.lit(0.1)).alias("max_lat"))
 
 
+def tile_route(path: Column) -> Column:
+    """What follows ``/tiles/`` in a request's path, whole; null for other paths."""
+    return F.when(F.startswith(path, F.lit("/tiles/")), F.substr(path, F.lit(len("/tiles/") + 1)))
+
+
 def slippy(lon: Column, lat: Column, zoom: Column) -> Column:
     """struct(x, y) of the web-map tile that holds a point, in degrees."""
     n = F.pow(F.lit(2.0), zoom)

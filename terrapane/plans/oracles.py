@@ -80,7 +80,7 @@ FROM (SELECT *, min(value) FILTER (WHERE value <> 0) OVER w AS lo, max(value) FI
     "q40_list_limit": (["v_tiles"], "SELECT *, (SELECT greatest(count(*) - 10, 0) FROM v_tiles)::bigint AS remaining FROM (SELECT * FROM v_tiles ORDER BY year, lat_c, lon_c LIMIT 10)"),
     "q41_master_concat": (["v_reg_old", "v_reg_new"], "SELECT path, hash FROM v_reg_old UNION ALL SELECT path, hash FROM v_reg_new"),
     "q42_registry_names": (["v_tiles"], f"SELECT year, lon_c, lat_c, {_BLOCKS} AS name, {_TBLOCKS} AS tiles_name, concat('/base/registry/', {_BLOCKS}) AS path, concat('/base/registry/', {_TBLOCKS}) AS tiles_path FROM v_tiles"),
-    "q43_tile_route": ([], "SELECT page_id, path, len(p)::int AS n_parts, coalesce(p[-1], '') AS last_part, substr(path, 5, 1000) AS rest FROM (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages))"),
+    "q43_tile_route": ([], "SELECT page_id, path, len(p)::int AS n_parts, coalesce(p[-1], '') AS last_part, CASE WHEN starts_with('/tiles' || path, '/tiles/') THEN substr('/tiles' || path, 8) END AS rest FROM (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages))"),
     "q44_block_range": (["v_regions"], "SELECT region_id, block_lon::int AS block_lon, block_lat::int AS block_lat FROM (SELECT region_id, block_lon, unnest(range((floor(min_lat_c / 500.0) * 5)::int, (floor(max_lat_c / 500.0) * 5)::int + 5, 5)) AS block_lat FROM (SELECT *, unnest(range((floor(min_lon_c / 500.0) * 5)::int, (floor(max_lon_c / 500.0) * 5)::int + 5, 5)) AS block_lon FROM v_regions))"),
 }
 

@@ -252,10 +252,10 @@ def q42_registry_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def q43_tile_route(s: SparkSession, d: str) -> DataFrame:
-    """The path of each address, its segments' number, the last segment and what follows ``/tiles/``."""
+    """Each address's path, its segments' number, the last segment, and the route of a request for it below ``/tiles``."""
     path = F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", path.alias("path"), F.size(parts).alias("n_parts"), F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")).alias("last_part"), F.substring(path, 5, 1000).alias("rest"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", path.alias("path"), F.size(parts).alias("n_parts"), F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")).alias("last_part"), grid.tile_route(F.concat(F.lit("/tiles"), path)).alias("rest"))
 
 
 def q44_block_range(s: SparkSession, d: str) -> DataFrame:

@@ -160,3 +160,10 @@ def test_upsert_twice_is_once(spark):
     assert {tuple(r) for r in once.collect()} == {("a", "1", "kept"), ("b", "2", "same"), ("c", "9", "changed"), ("d", "4", "new")}
     assert {r["status"] for r in registry.merged(once, new).collect()} == {"kept", "same"}
     assert {r["path"] for r in registry.merged(old, new, prune=True).collect()} == {"b", "c", "d"}
+
+
+def test_tile_routes(spark):
+    long = "x" * 5000
+    rows = [("/tiles/3/1/2.png", "3/1/2.png"), (f"/tiles/{long}", long), ("/tiles/", ""), ("/tiles", None), ("/a/tiles/1", None), ("", None), (None, None)]
+    got = spark.createDataFrame(rows, "p string, want string").select("want", grid.tile_route(F.col("p")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
