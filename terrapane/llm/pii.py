@@ -11,6 +11,9 @@ stay different, and equal values get equal pseudonyms in all documents, without
 any table that grows with them.  Mail addresses keep their domain and shape;
 their local part gets a keyed digest, as its format is not a fixed set.
 
+A card number may stand beside other digits: in a run of groups that is no number
+as a whole, the leftmost valid one between spaces counts, the longest from there.
+
 Rounds take their words from SHA-256 over key, format, round and half.
 
 Defined results: a null text stays null; invalid look-alikes stay as they are;
@@ -31,12 +34,12 @@ ROUNDS = 8
 KEY = "terrapane-demo-key"
 
 # The formats' patterns, tried in this order.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"  # possessive: no recursion
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\w]|\.[0-9])"
 PHONE = r"(?<!\w)(?:(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])|\([0-9]{3}\) ?)[0-9]{3}|[2-9][0-9]{2}[ .-][2-9][0-9]{2})[ .-][0-9]{4}(?!\w)"
 SSN = r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"
 DATE = r"(?<![\w-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?!(?!T[0-9])[\w-])"
-CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
+CARD = r"(?<![\w.-])(?:[0-9]{13,19}|[0-9](?:[ -]?[0-9]){12,18})(?![\w-])"
 FORMATS = {"email": EMAIL, "ipv4": IPV4, "phone": PHONE, "ssn": SSN, "date": DATE, "card": CARD}
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
@@ -126,6 +129,10 @@ class Pseudonyms:
 
         return let(F.datediff(F.try_to_date(v, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long"), go)
 
+    def card_within(self, v: Column) -> Column:
+        """A run of digits with the card number in it rewritten."""
+        return let(card_place(v), lambda s: F.concat(F.substr(v, F.lit(1), s["at"] - 1), self.card(F.substr(v, s["at"], s["n"])), F.substr(v, s["at"] + s["n"])))
+
     def card(self, v: Column) -> Column:
         """All digits but the last are permuted; the last is the check digit."""
 
@@ -151,14 +158,30 @@ def check_digit(body: Column) -> Column:
     return F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
 
 
+def card_place(value: Column) -> Column:
+    """struct(at, n): where in a run of digit groups the leftmost card number lies, the longest from there; else null.
+
+    A number starts and ends with the run or at a space; a run has 19 digits at most.
+    """
+
+    def valid(digits: Column) -> Column:
+        return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+    n = F.length(value)
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda p: (p == 1) | (F.substr(value, p - 1, F.lit(1)) == " "))
+    ends = F.reverse(F.filter(places, lambda p: (p == n) | (F.substr(value, p + 1, F.lit(1)) == " ")))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(ends, lambda e: F.struct(a.alias("at"), (e - a + 1).alias("n")))))
+    return F.get(F.filter(spans, lambda s: let(F.regexp_replace(F.substr(value, s["at"], s["n"]), "[^0-9]", ""), valid)), 0)
+
+
 def kind_of(value: Column) -> Column:
     """Name of the format that a found value is valid in, else null."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
-    digits = F.regexp_replace(value, "[^0-9]", "")
     return (
         F.when(whole(EMAIL), "email").when(whole(IPV4), "ipv4").when(whole(PHONE), "phone").when(whole(SSN), "ssn")
         .when(whole(DATE) & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date")
-        .when(whole(CARD) & (luhn_sum(digits) % 10 == 0), "card")
+        .when(whole(CARD) & card_place(value).isNotNull(), "card")
     )
 
 
@@ -167,7 +190,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     p = Pseudonyms(key)
 
     def go(kind: Column) -> Column:
-        new = F.when(kind == "email", p.email(value)).when(kind == "ipv4", p.ipv4(value)).when(kind == "phone", p.phone(value)).when(kind == "ssn", p.ssn(value)).when(kind == "date", p.date(value)).when(kind == "card", p.card(value)).otherwise(value)
+        new = F.when(kind == "email", p.email(value)).when(kind == "ipv4", p.ipv4(value)).when(kind == "phone", p.phone(value)).when(kind == "ssn", p.ssn(value)).when(kind == "date", p.date(value)).when(kind == "card", p.card_within(value)).otherwise(value)
         return F.struct(kind.alias("kind"), new.alias("value"))
 
     return let(kind_of(value), go)

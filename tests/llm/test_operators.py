@@ -1,5 +1,7 @@
 """Each query against a brute-force version, on odd rows and on the small tables."""
 
+import datetime
+import functools
 import hashlib
 import math
 import re
@@ -227,6 +229,105 @@ def test_pii_full_phone_layouts_and_timestamps(spark):
     assert re.fullmatch(r"a \d{4}-\d\d-\d\dT10:00 b", got[26]) and got[27:] == [f"a {v} b" for v in values[27:]]
 
 
+def luhn_ok(digits):
+    d = [int(c) for c in digits][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+@functools.cache
+def phone_codes(usual):
+    """Pairs of area and exchange codes in order, and their ranks."""
+    if usual:
+        pairs = [(a, e) for a in range(200, 1000) for e in range(200, 1000)]
+    else:
+        pairs = [(a, e) for a in range(200) for e in range(1000)] + [(a, e) for a in range(200, 1000) for e in range(200)]
+    return pairs, {p: i for i, p in enumerate(pairs)}
+
+
+def brute_pseudonym(key, v):
+    """kind and pseudonym of a found value, in Python; kind None where it stays."""
+
+    def permuted(tag, x, y, a, b):
+        for i in range(pii.ROUNDS):
+            word = lambda half: int(hashlib.sha256(f"{key}|{tag}|{i}|{half}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+            x, y = ((x + word(y)) % a, y) if i % 2 == 0 else (x, (y + word(x)) % b)
+        return x, y
+
+    def laid_out(layout, digits):
+        left = iter(digits)
+        return "".join(next(left) if c in "0123456789" else c for c in layout)
+
+    kind = next(k for k, p in pii.FORMATS.items() if re.fullmatch(p, v, re.A))
+    digits = re.sub("[^0-9]", "", v)
+    if kind == "email":
+        local, _, domain = v.partition("@")
+        return kind, "u" + hashlib.sha256(f"{key}|email|{local}".encode()).hexdigest()[:12] + "@" + domain
+    if kind == "ipv4":
+        o = list(map(int, v.split(".")))
+        x, y = permuted(kind, o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return kind, f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+    if kind == "phone":
+        codes = (int(digits[-10:-7]), int(digits[-7:-4]))
+        space, rank = phone_codes(min(codes) >= 200)
+        x, y = permuted(kind, rank[codes], int(digits[-4:]), len(space), 10_000)
+        return kind, laid_out(v, f"{digits[:-10]}{space[x][0]:03d}{space[x][1]:03d}{y:04d}")
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        x, y = permuted(kind, areas.index(int(v[:3])), (int(v[4:6]) - 1) * 9999 + int(v[7:]) - 1, 898, 99 * 9999)
+        return kind, f"{areas[x]:03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    if kind == "date":
+        try:
+            n = (datetime.date.fromisoformat(v) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return None, v
+        x, y = permuted(kind, n // 229, n % 229, 319, 229)
+        return kind, (datetime.date(1900, 1, 1) + datetime.timedelta(x * 229 + y)).isoformat()
+    groups = re.split("( )", v)
+    for a in range(0, len(groups), 2):
+        for e in range(len(groups), a, -2):
+            part = "".join(groups[a:e])
+            d = re.sub("[^0-9]", "", part)
+            if 13 <= len(d) <= 19 and luhn_ok(d):
+                low = (len(d) - 1) // 2
+                high = len(d) - 1 - low
+                x, y = permuted("card", int(d[:high]), int(d[high:-1]), 10**high, 10**low)
+                body = f"{x:0{high}d}{y:0{low}d}"
+                new = laid_out(part, body + next(c for c in "0123456789" if luhn_ok(body + c)))
+                return kind, "".join(groups[:a]) + new + "".join(groups[e:])
+    return None, v
+
+
+def brute_rewritten(key, text):
+    kinds = []
+
+    def new(m):
+        kind, value = brute_pseudonym(key, m[0])
+        kinds.extend([kind] if kind else [])
+        return value
+
+    return re.sub(pii.ANY, new, text, flags=re.A), kinds
+
+
+def test_pii_against_brute_force(spark, sf):
+    """The same text and kinds as an independent version, on made mixtures and on the documents."""
+    rng = np.random.default_rng(11)
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+
+    def card(k):
+        body = n(k - 1)
+        return body + next(c for c in "0123456789" if luhn_ok(body + c))
+
+    quads = lambda: re.sub("(.{4})(?=.)", r"\1 ", card(16))
+    makers = [lambda: card(16), lambda: card(15), lambda: card(19), quads, lambda: quads().replace(" ", "-"), lambda: n(2), lambda: n(13), lambda: n(16), lambda: "x", lambda: "é", lambda: f"20{n(2)}-0{rng.integers(0, 10)}-{n(2)}", lambda: f"{n(3)}-{n(2)}-{n(4)}", lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(3)}-{n(4)}", lambda: ".".join(str(rng.integers(0, 300)) for _ in range(4)), lambda: f"a{n(2)}.b@c.example.org"]
+    texts = ["".join(makers[rng.integers(len(makers))]() + " " * (rng.random() < 0.85) for _ in range(rng.integers(1, 7))) for _ in range(600)]
+    known = ["card 4111111111111111 12 units", "4111 1111 1111 1111 2 items", "1 4111111111111111 x", "1700000000000 4111 1111 1111 1111", "a@" + "b." * 20_000 + "c", "1 " * 20_000, "9" * 40_000]
+    texts += known + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r["text"] is not None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = d.select("i", pii.rewritten(F.col("text"), "some key").alias("r")).collect()
+    assert {r["i"]: (r["r"]["text"], r["r"]["kinds"]) for r in got} == dict(enumerate(brute_rewritten("some key", t) for t in texts))
+    assert all("card" in brute_rewritten("k", t)[1] and "4111" not in brute_rewritten("k", t)[0] for t in known[:4])
+
+
 def test_pii_query(spark, tmp_path):
     got = {r["doc_id"]: r for r in run("op4_feistel_pii", spark, at(tmp_path, spark, [*TEXTS, (50, "mail a.b@c.example.com now", "en", "a")]))}
     assert got[2]["text"] is None and got[2]["n_card"] == 0 and got[4]["text"] == LONG and got[50]["n_email"] == 1
