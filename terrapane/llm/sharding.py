@@ -16,7 +16,8 @@ cell's groups before + row number in the group.
 Defined results: a null text counts 0 bytes (size 1, checksum of nothing); null
 metadata quantise to 0; repeated rows are placed each; ties within a group are
 ordered by doc_id, checksum and size; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored by ``placed`` and kept by ``write_sharded``.  There the
+folders' column is ``shard``, or ``shard_`` and so on where the input has that name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import let, literal_array, staged, table
+from terrapane.llm.common import let, literal_array, scratch, staged, table
 
 BITS = 4
 
@@ -82,19 +83,22 @@ def quantised(docs: DataFrame) -> list[Column]:
     return [*hashed, F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(size))).cast("int")]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size, checksum and curve index of every row; no text."""
+DIMENSIONS = ("source", "lang", "size")
+
+
+def digests(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, checksum and curve index of every row, and columns of ``more``; no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     dims = quantised(docs)
     cell = dims[0]
     for d in dims[1:]:
         cell = cell * (1 << BITS) + d
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("cell")).withColumn("hilbert", F.get(literal_array(hilbert_table(len(dims), BITS), "int"), F.col("cell"))).drop("cell")
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("cell"), *more).withColumn("hilbert", F.get(literal_array(hilbert_table(len(dims), BITS), "int"), F.col("cell"))).drop("cell")
 
 
-def placed(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, rank, shard and slot of every row."""
-    rows = staged(digests(docs))
+def placed(docs: DataFrame, shards: int = 16, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, rank, shard and slot of every row, and columns of ``more``."""
+    rows = staged(digests(docs, more))
     cells = {r["hilbert"]: r["count"] for r in rows.groupBy("hilbert").count().collect()}  # bounded by the grid
     total, before, starts, groups = sum(cells.values()), 0, [], []
     for h in range(max(cells, default=0) + 1):
@@ -109,24 +113,62 @@ def placed(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranked = rows.withColumn("n", F.row_number().over(inner)).join(sums, ["hilbert", "part"]).withColumn("rank", F.col("ahead") + F.col("n") - 1)
     shard = F.floor(F.col("rank") * shards / F.lit(max(1, total))) if total == 0 else F.expr(f"rank * {shards} div {total}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "hilbert", "rank", "shard", "slot")
+    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "hilbert", "rank", "shard", "slot", *more)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def write_sharded(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write ``docs`` as Parquet, a folder a shard, along the curve within it.
+    """Write ``docs`` as Parquet, a folder a shard, along the curve within it, and the shards' ranges.
 
-    Rows are dealt by range over (shard, slot), so that a shard takes as many
-    files as its size asks for and every file covers one run of the curve.
+    Every row, repeated ones too, gets a number of its own, which is written with
+    it once and so stays when an executor is lost.  Rows are dealt by range over
+    (shard, slot): a shard takes as many files as its size asks for, and every
+    file covers one run of the curve.  ``{path}/_ranges`` holds ``shard_ranges``.
     """
-    keys = placed(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")).dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    dealt = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")))
-    (dealt.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").drop("__id", "__crc", "__slot").withColumnRenamed("__shard", "shard").write.partitionBy("shard").parquet(path))
+    row, shard, slot = (_free(c, docs.columns) for c in ("__row", "shard", "__slot"))
+    with scratch():
+        numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+        q = dict(zip((_free(f"__{d}", docs.columns) for d in DIMENSIONS), quantised(docs)))
+        keys = staged(placed(numbered.withColumns(q), shards, (row, *q)))
+        ranges = shard_ranges(keys.withColumnsRenamed(dict(zip(q, (f"d_{d}" for d in DIMENSIONS)))), tuple(f"d_{d}" for d in DIMENSIONS))
+        at = keys.select(row, F.col("shard").alias(shard), F.col("slot").alias(slot))
+        dealt = numbered.join(at, row).repartitionByRange(shard, slot).sortWithinPartitions(shard, slot)
+        dealt.drop(row, slot).write.partitionBy(shard).parquet(path)
+        ranges.withColumnRenamed("shard", shard).coalesce(1).write.parquet(f"{path}/_ranges")
+
 
+def shard_ranges(placed_rows: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, bytes, range of the curve and of each quantised dimension of every shard, for pruning."""
+    ends = [f(d).alias(f"{name}_{d}") for d in ("hilbert", *dimensions) for name, f in (("min", F.min), ("max", F.max))]
+    return placed_rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"), *ends)
 
-def shard_ranges(placed_rows: DataFrame) -> DataFrame:
-    """Rows, bytes and range of the curve of every shard, for pruning."""
-    return placed_rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"), F.min("hilbert").alias("min_hilbert"), F.max("hilbert").alias("max_hilbert"))
+
+def read_sharded(spark: SparkSession, path: str, source: str | None = None, lang: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of a written table with a source, a language and a size (bytes plus 1, both ends included).
+
+    Folders of shards whose ranges exclude the filter aren't read: the shards'
+    numbers, as many as there are shards, become a partition filter.
+    """
+    ranges = spark.read.parquet(f"{path}/_ranges")
+    shard = ranges.columns[0]
+    docs = spark.read.parquet(path)
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1
+    bucket = lambda v: F.pmod(F.xxhash64(F.lit(v)), F.lit(1 << BITS))
+    level = lambda v: F.lit(min((1 << BITS) - 1, max(1, v).bit_length() - 1))
+    for column, value in (("source", source), ("lang", lang)):
+        if value is not None:
+            ranges = ranges.where(bucket(value).between(F.col(f"min_d_{column}"), F.col(f"max_d_{column}")))
+            docs = docs.where(F.col(column) == value)
+    if sizes is not None:
+        ranges = ranges.where((F.col("min_d_size") <= level(sizes[1])) & (F.col("max_d_size") >= level(sizes[0])))
+        docs = docs.where(size.between(*sizes))
+    return docs.where(F.col(shard).isin([r[0] for r in ranges.select(shard).collect()]))
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

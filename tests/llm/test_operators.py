@@ -101,6 +101,35 @@ def test_written_shards(spark, tmp_path, sf):
     assert sharding.shard_ranges(sharding.placed(d)).count() == 16
 
 
+def test_written_shards_keep_odd_tables(spark, tmp_path):
+    """Repeated rows, nulls and columns with the names that the writer takes."""
+    rows = [(1, "same", "en", "a", 7, "x")] * 40 + [(None, None, None, None, None, None)] * 9 + [(i, "t" * i, "de", f"s{i}", i, "y") for i in range(31)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, Shard int, __row string")
+    sharding.write_sharded(d, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == [*d.columns, "shard_"] and Counter(map(tuple, back.drop("shard_").collect())) == Counter(rows)
+    assert Counter(r["count"] for r in back.groupBy("shard_").count().collect()) == {5: 16}
+    sharding.write_sharded(d.limit(0), f"{tmp_path}/none")
+
+
+def test_filters_on_dimensions_skip_shards(spark, tmp_path, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    sharding.write_sharded(d, f"{tmp_path}/out")
+    top = d.where("source is not null").groupBy("source").count().orderBy("count").first()["source"]
+    lang = d.where("lang is not null").groupBy("lang").count().orderBy("count").first()["lang"]
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1
+    shards = set(range(16))
+    skipped = []
+    for filters, where in (({"source": top}, F.col("source") == top), ({"lang": lang}, F.col("lang") == lang), ({"sizes": (1, 64)}, size.between(1, 64)), ({"source": top, "lang": lang}, (F.col("source") == top) & (F.col("lang") == lang)), ({}, F.lit(True))):
+        got = sharding.read_sharded(spark, f"{tmp_path}/out", **filters)
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in d.where(where).collect())
+        read = {int(re.search("shard=([0-9]+)", f)[1]) for f in spark.read.parquet(f"{tmp_path}/out").where(F.col("shard").isin(list(shards))).inputFiles()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        kept = set(map(int, re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan, re.S)[1].split("IN (")[-1].split(")")[0].split(","))) if "IN (" in plan else read
+        skipped.append(len(read - kept))
+    assert skipped[-1] == 0 and max(skipped[:4]) > 0, skipped
+
+
 def test_language(spark, tmp_path, sf):
     t = {r["doc_id"]: r for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
     got = run("op3_language_centroids", spark, sf)
