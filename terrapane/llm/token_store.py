@@ -16,7 +16,8 @@ dictionary, so one document is read by taking one segment (``first_id`` and
 
 Steps: a bounded sample of rows, picked by a hash, gives the dictionary; all
 texts are encoded and compressed in one pass; frames, about a third of the
-text's size, are range-partitioned by doc_id; parts are sorted and written as
+text's size, are range-partitioned by doc_id and, where one id has very many
+rows, by their places in that pass's output; parts are sorted and written as
 segments.  A document's start is the tokens before it in its part and the
 parts before; the driver sums one number for each part.
 
@@ -248,7 +249,9 @@ def write_store(docs: DataFrame, out: str, vocabulary: str | None = None, end_id
         if ids:
             yield made()
 
-    staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(segments, segment).write.option("compression", "none").parquet(f"{out}/segments")
+    # rows of one id, or without any, may fill several parts: a row's place in the written table deals them
+    dealt = staged.withColumn("deal", F.monotonically_increasing_id()).repartitionByRange("doc_id", "deal").sortWithinPartitions("doc_id", "deal")
+    dealt.drop("deal").mapInArrow(segments, segment).write.option("compression", "none").parquet(f"{out}/segments")
 
 
 def opened(spark: SparkSession, store: str) -> tuple[DataFrame, bytes, np.dtype, str]:
@@ -296,7 +299,8 @@ def fetched(spark: SparkSession, store: str, doc_id) -> list[list[int]]:
     segments, data, dtype, _ = opened(spark, store)
     unpress = zstandard.ZstdDecompressor(**_dictionary(data))
     place = F.array_position("ids", F.lit(doc_id).cast(segments.schema["first_id"].dataType)) - 1
-    near = segments.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.col("n_docs") - 1), lambda i: F.get("ids", i) == doc_id))).where(place >= 0)
+    # a segment that starts with rows without an id may hold others behind them
+    near = segments.where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id)).withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.col("n_docs") - 1), lambda i: F.get("ids", i) == doc_id))).where(place >= 0)
     frame = F.substring("blob", F.get("offsets", F.col("k")) + 1, F.get("offsets", F.col("k") + 1) - F.get("offsets", F.col("k")))
     return [np.frombuffer(unpress.decompress(bytes(r["f"])), dtype).tolist() for r in near.select(frame.alias("f")).collect()]
 

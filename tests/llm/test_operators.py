@@ -713,6 +713,27 @@ def test_token_store(spark, tmp_path, sf):
         assert sorted((r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
 
 
+def test_one_id_fills_several_parts(spark, tmp_path):
+    """2,000 rows of one id and 2,000 without any, each over several parts; starts stay gapless and in order."""
+    d = spark.createDataFrame([(i, f"row {k}") for k in range(2000) for i in (7, None)] + [(9, "last"), (1, "first")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_store(d, f"{tmp_path}/store")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    segments = spark.read.parquet(f"{tmp_path}/store/segments").collect()
+    for i in (7, None):
+        assert len({r["part"] for r in segments if i in r["ids"]}) > 1
+    rows = sorted(token_store.read_store(spark, f"{tmp_path}/store").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None] * 2000 + [1] + [7] * 2000 + [9]
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert len(token_store.fetched(spark, f"{tmp_path}/store", 7)) == 2000
+
+
 def test_store_reads_one_document(spark, tmp_path, sf, monkeypatch):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     token_store.write_store(d, f"{tmp_path}/store")
