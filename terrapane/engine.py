@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrapane.functions import crs as systems
 from terrapane.functions import geometry, grid, pixel
-from terrapane.operators import catalog, mosaic, registry, reproject, spatial
+from terrapane.operators import catalog, mosaic, registry, spatial
 from terrapane.sources import geotiff, npy, png, vector
 
 Bounds = tuple[float, float, float, float]
@@ -72,15 +72,16 @@ class Engine:
         name = f"grid_{lon_c / 100:.2f}_{lat_c / 100:.2f}"
         return npy.read_pixels(self.spark, f"{self.arrays}/{year}/{name}", bands=bands, dequantize=True, entries=self._array_entries()).select("py", "px", "embedding")
 
-    def _pixels(self, tiles: DataFrame, bands: Sequence[int]) -> DataFrame:
-        """year, lon_c, lat_c, py, px, q, scale of tiles; q holds the chosen bands alone, in order.
-
-        Only the tiles' folders are listed and read.
-        """
+    def _folders(self, tiles: DataFrame) -> list[str]:
+        """The folders of tiles; only these are listed and read."""
         rows = tiles.select(F.concat_ws("/", F.col("year").cast("string"), grid.tile_name(F.col("lon_c"), F.col("lat_c"))).alias("d")).distinct().collect()  # a row for each tile of the request
         if not rows:
             raise LookupError("no tile meets the region")
-        return npy.read_pixels(self.spark, [f"{self.arrays}/{r['d']}" for r in rows], bands=bands, entries=self._array_entries())
+        return [f"{self.arrays}/{r['d']}" for r in rows]
+
+    def _pixels(self, tiles: DataFrame, bands: Sequence[int]) -> DataFrame:
+        """year, lon_c, lat_c, py, px, q, scale of tiles; q holds the chosen bands alone, in order."""
+        return npy.read_pixels(self.spark, self._folders(tiles), bands=bands, entries=self._array_entries())
 
     def export_tile(self, lat: float, lon: float, out: str, year: int = 2024, bands: Sequence[int] = (0, 1, 2), normalize: bool = True) -> None:
         """One tile as an RGB GeoTIFF in EPSG:4326."""
@@ -141,17 +142,6 @@ class Engine:
         east, south = max(t[2] + t[0] * w for t, w, _ in grids), min(t[5] + t[4] * h for t, _, h in grids)
         return (size, 0.0, west, 0.0, -size, north), max(1, math.ceil((north - south) / size - 1e-6)), max(1, math.ceil((east - west) / size - 1e-6))
 
-    def _onto(self, values: DataFrame, refs: DataFrame, rows: list, target: tuple, height: int, width: int, target_crs: str, how, keys: tuple[str, ...]) -> DataFrame:
-        """Pixel values (lon_c, lat_c, py, px, keys, value) on the target grid; one branch for each source system."""
-        parts = []
-        for system in sorted({r["crs"] for r in rows}):  # as many as there are systems
-            cells = reproject.tile_cells(refs.where(F.col("crs") == system), target, height, width, target_crs, system)
-            parts.append(how(values, cells, F.col("__row"), F.col("__col"), keys, ("lon_c", "lat_c")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
     def region_mosaic(self, bounds: Bounds, out: str, target_crs: str = "EPSG:4326", bands: Sequence[int] = (0, 1, 2), normalize: bool = True, year: int = 2024) -> None:
         """Tiles over bounds, resampled, merged (first wins), normalized together, as one RGB GeoTIFF."""
         bands = pixel.checked_bands(bands, exactly=3)
@@ -162,8 +152,7 @@ class Engine:
         if not rows:
             raise LookupError("no tile over the bounds has a land mask")
         target, height, width = self._target(rows, target_crs)
-        values = pixel.exploded(self._pixels(refs, bands), range(3)).select("lon_c", "lat_c", "py", "px", "band", "value")
-        cells = self._onto(values, refs.drop("year"), rows, target, height, width, target_crs, reproject.bilinear, ("band",))
+        cells = npy.read_onto(self.spark, self._folders(refs), refs, bands, target, height, width, target_crs, self._array_entries())
         merged = mosaic.first_wins(cells, F.struct("lat_c", "lon_c"))
         geotiff.write_mosaic(mosaic.finished(merged, normalize), out, [0, 1, 2], height, width, target, target_crs)
         refs.unpersist()
@@ -173,8 +162,7 @@ class Engine:
         refs = self._georeferenced(bounds).cache()
         rows = refs.collect()
         target, height, width = self._target(rows, target_crs)
-        pixels = geotiff.read_pixels(self.spark, [r["mask"] for r in rows]).where("band = 0").join(refs.select(F.col("mask").alias("path"), "lon_c", "lat_c"), "path").select("lon_c", "lat_c", "py", "px", "value")
-        cells = self._onto(pixels, refs, rows, target, height, width, target_crs, reproject.nearest, ())
+        cells = geotiff.read_onto(refs, target, height, width, target_crs)
         merged = mosaic.mask_mosaic(cells.withColumn("__order", F.struct("lat_c", "lon_c")), "__order")
         geotiff.write_mosaic(merged.select(F.lit(0).alias("band"), "row", "col", F.col("value").alias("u8")), out, [0], height, width, target, target_crs)
         refs.unpersist()

@@ -1,12 +1,18 @@
 """Resampling onto another grid by inverse mapping.
 
-The target's cells are generated, mapped back into the source grid and
-equi-joined with its pixels; bilinear cells take four neighbours each.  A
-transform is (a, b, c, d, e, f) with x = a col + b row + c, y = d col + e row + f.
+Rasters that are rows: the target's cells are generated, mapped back into the
+source grid and equi-joined with its pixels; bilinear cells take four neighbours
+each.  Rasters that are files: ``onto`` resamples a tile within the task that
+holds it, so only target cells leave the task.  A transform is (a, b, c, d, e, f)
+with x = a col + b row + c, y = d col + e row + f.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,22 +75,65 @@ def bilinear(pixels: DataFrame, cells: DataFrame, row: Column, col: Column, keys
     return sums.where("__in").select(*on, *keys, "row", "col", (F.col("__s").cast("double") / F.col("__w").cast("double")).alias("value"))
 
 
-def tile_cells(tiles: DataFrame, target: Transform, height: int, width: int, target_crs: str, source_crs: str) -> DataFrame:
-    """Target cells that each tile can reach, with the source position of their centres.
+BLOCK = 1 << 18  # target cells that are mapped back at once
+
+
+def window(shape: tuple[int, int], source: Transform, target: Transform, height: int, width: int, source_crs: str, target_crs: str, edge: int = 21) -> tuple[int, int, int, int]:
+    """First and last-but-one row and column of the target that a tile can reach; empty if it reaches none.
 
-    ``tiles`` has a tile's own transform (a, c, e, f of a north-up raster) and its
-    height and width, all in one system.  The outline's eight points are mapped
-    forward to a window of the target, whose cells are generated tile by tile and
-    mapped back.  Adds row, col, __row and __col.
+    The tile's outline is mapped forward at ``edge`` points a side, and a cell is
+    added all around.
     """
-    go = systems.between(source_crs, target_crs)
-    x = [F.col("c") + F.col("a") * F.col("tile_w") * k for k in (0.0, 0.5, 1.0)]
-    y = [F.col("f") + F.col("e") * F.col("tile_h") * k for k in (0.0, 0.5, 1.0)]
-    outline = [go(p, q) for i, p in enumerate(x) for j, q in enumerate(y) if (i, j) != (1, 1)]
-    a, _, c, _, e, f = target
-    cols, rows = [(p - c) / a for p, _ in outline], [(q - f) / e for _, q in outline]
-    span = lambda v, most: F.sequence(F.greatest(F.lit(0), F.floor(F.least(*v)).cast("int") - 1), F.least(F.lit(most - 1), F.floor(F.greatest(*v)).cast("int") + 1))
-    some = (F.greatest(*cols) >= 0) & (F.least(*cols) < width) & (F.greatest(*rows) >= 0) & (F.least(*rows) < height)
-    cells = tiles.where(some).withColumn("row", F.explode(span(rows, height))).withColumn("col", F.explode(span(cols, width)))
-    px, py = systems.between(target_crs, source_crs)((F.col("col") + 0.5) * a + c, (F.col("row") + 0.5) * e + f)
-    return cells.withColumns({"__row": (py - F.col("f")) / F.col("e"), "__col": (px - F.col("c")) / F.col("a")})
+    h, w = shape
+    t = np.linspace(0.0, 1.0, edge)
+    i = np.concatenate([t * w, t * w, np.zeros(edge), np.full(edge, float(w))])
+    j = np.concatenate([np.zeros(edge), np.full(edge, float(h)), t * h, t * h])
+    a, b, c, d, e, f = source
+    x, y = systems.between(source_crs, target_crs, np)(i * a + j * b + c, i * d + j * e + f)
+    p, q, r, s, u, v = inverted(target)
+    # outlines that touch a pole may be infinitely far away
+    cols, rows = np.clip(x * p + y * q + r, -2, width + 2), np.clip(x * s + y * u + v, -2, height + 2)
+    low, high = (lambda n: max(0, math.floor(np.nanmin(n)) - 1)), (lambda n, most: min(most, math.floor(np.nanmax(n)) + 2))
+    return low(rows), high(rows, height), low(cols), high(cols, width)
+
+
+def _bilinear(image: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Weighted means of the pixels next to positions inside ``image``, weights taken anew at its edges."""
+    h, w = image.shape[:2]
+    # as in ``bilinear``: a centre that meets a pixel's but for rounding takes that pixel alone
+    y, x = np.round(row - 0.5, 9), np.round(col - 0.5, 9)
+    top, left = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+    fy, fx = y - top, x - left
+    total, weight = np.zeros((row.size, image.shape[2])), np.zeros(row.size)
+    for dy, wy in ((0, 1 - fy), (1, fy)):
+        for dx, wx in ((0, 1 - fx), (1, fx)):
+            py, px = top + dy, left + dx
+            there = (py >= 0) & (py < h) & (px >= 0) & (px < w)
+            share = np.where(there, wy * wx, 0.0)
+            total += share[:, None] * image[np.where(there, py, 0), np.where(there, px, 0)]
+            weight += share
+    return total / weight[:, None]
+
+
+def onto(image: np.ndarray, source: Transform, target: Transform, height: int, width: int, source_crs: str, target_crs: str, smooth: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and values (cells, bands) of the target cells whose centres lie in a tile.
+
+    ``image`` is (height, width, bands).  Bilinear, or nearest without ``smooth``.
+    The target comes in blocks of rows, so memory holds the tile and one block.
+    """
+    h, w = image.shape[:2]
+    top, bottom, left, right = window((h, w), source, target, height, width, source_crs, target_crs)
+    a, b, c, d, e, f = target
+    p, q, r, s, u, v = inverted(source)
+    back = systems.between(target_crs, source_crs, np)
+    step = max(1, BLOCK // max(1, right - left))
+    for first in range(top, bottom, step):
+        j, i = (n.reshape(-1) for n in np.mgrid[first : min(first + step, bottom), left:right])
+        if not j.size:
+            return
+        x, y = back((i + 0.5) * a + (j + 0.5) * b + c, (i + 0.5) * d + (j + 0.5) * e + f)
+        row, col = x * s + y * u + v, x * p + y * q + r
+        inside = (row >= 0) & (row < h) & (col >= 0) & (col < w)
+        if inside.any():
+            row, col = row[inside], col[inside]
+            yield j[inside], i[inside], _bilinear(image, row, col) if smooth else image[row.astype(np.int64), col.astype(np.int64)]

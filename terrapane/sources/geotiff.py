@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapane.functions import crs as systems
+from terrapane.operators import reproject
+from terrapane.sources import files
 
 # Tags, field types and GeoTIFF keys.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -172,7 +174,7 @@ def encode(array: np.ndarray, transform: tuple, crs: str, compression: int = LZW
     return assembled(a.shape[1], a.shape[0], a.shape[2], a.dtype, strips, STRIP, transform, crs, compression)
 
 
-def _tags(data: bytes) -> tuple[dict[int, tuple], str]:
+def _tags(data: bytes | _Slices) -> tuple[dict[int, tuple], str]:
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a classic TIFF")
@@ -186,7 +188,7 @@ def _tags(data: bytes) -> tuple[dict[int, tuple], str]:
     return out, order
 
 
-def meta(data: bytes) -> Meta:
+def meta(data: bytes | _Slices) -> Meta:
     """Size, type, transform and system from the header alone."""
     t, _ = _tags(data)
     if TRANSFORMATION in t:
@@ -227,35 +229,77 @@ def decode(data: bytes) -> tuple[np.ndarray, Meta]:
 META = "path string, width int, height int, bands int, dtype string, transform array<double>, crs string, bounds array<double>"
 
 
-def read_meta(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """A row for each file's header."""
+class _Slices:
+    """Parts of an open file by position, read when asked for."""
+
+    def __init__(self, f: pa.NativeFile) -> None:
+        self.f = f
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.f.seek(part.start or 0)
+        return self.f.read(part.stop - (part.start or 0))
+
+
+def _listed(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """path of the files below ``root``, dealt over the shuffle partitions."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(root)
+    return found.select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def read_meta(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """A row for each file's header; no more of a file is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                m = meta(c)
+            for p in b.column("path").to_pylist():
+                with files.opened(p) as f:
+                    m = meta(_Slices(f))
                 rows.append({"path": p, "width": m.width, "height": m.height, "bands": m.bands, "dtype": m.dtype.name, "transform": list(m.transform), "crs": m.crs, "bounds": list(m.bounds)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bands", pa.int32()), ("dtype", pa.string()), ("transform", pa.list_(pa.float64())), ("crs", pa.string()), ("bounds", pa.list_(pa.float64()))]))
 
-    return found.select("path", "content").mapInArrow(run, META)
+    return _listed(spark, root).mapInArrow(run, META)
+
+
+def _whole(path: str) -> tuple[np.ndarray, Meta]:
+    with files.opened(path) as f:
+        return decode(f.read())
 
 
 def read_pixels(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """path, band, py, px and value of every pixel."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                a, _ = decode(c)
+            for p in b.column("path").to_pylist():
+                a, _ = _whole(p)
                 for top in range(0, a.shape[0], STRIP):
                     part = a[top : top + STRIP]
                     y, x, k = np.indices(part.shape).reshape(3, -1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([p] * y.size), pa.array(k), pa.array(y + np.int32(top)), pa.array(x), pa.array(part.reshape(-1).astype(np.float64))], names=["path", "band", "py", "px", "value"])
 
-    return found.select("path", "content").mapInArrow(run, "path string, band int, py int, px int, value double")
+    return _listed(spark, root).mapInArrow(run, "path string, band int, py int, px int, value double")
+
+
+def read_onto(refs: DataFrame, target: reproject.Transform, height: int, width: int, target_crs: str) -> DataFrame:
+    """lon_c, lat_c, row, col and value of the files ``mask`` resampled to the nearest pixel of their first band.
+
+    The task that opens a file resamples it; only target cells leave it.
+    """
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                a, _ = _whole(r["mask"])
+                source = (r["a"], 0.0, r["c"], 0.0, r["e"], r["f"])
+                for row, col, value in reproject.onto(a[:, :, :1], source, target, height, width, r["crs"], target_crs, smooth=False):
+                    key = [np.full(row.size, r[c], np.int32) for c in ("lon_c", "lat_c")]
+                    cols = [*key, row.astype(np.int32), col.astype(np.int32), value[:, 0].astype(np.float64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lon_c", "lat_c", "row", "col", "value"])
+
+    rows = refs.select("lon_c", "lat_c", "mask", "crs", "a", "c", "e", "f").repartition(n, "mask")
+    return rows.mapInArrow(run, "lon_c int, lat_c int, row int, col int, value double")
 
 
 def write_mosaic(cells: DataFrame, path: str, bands: list[int], height: int, width: int, transform: tuple, crs: str, compression: int = LZW) -> None:

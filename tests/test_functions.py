@@ -167,3 +167,31 @@ def test_tile_routes(spark):
     rows = [("/tiles/3/1/2.png", "3/1/2.png"), (f"/tiles/{long}", long), ("/tiles/", ""), ("/tiles", None), ("/a/tiles/1", None), ("", None), (None, None)]
     got = spark.createDataFrame(rows, "p string, want string").select("want", grid.tile_route(F.col("p")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+@pytest.mark.parametrize("target_crs", ["EPSG:4326", "EPSG:3857", "EPSG:32631"])
+def test_tiles_resample_as_rows_do(spark, target_crs):
+    """``onto`` in one task against the join of pixels, in both ways and over a target that the tile only partly meets."""
+    rng = np.random.default_rng(3)
+    image = rng.normal(size=(9, 7, 2))
+    source = (0.01, 0.0, 5.0, 0.0, -0.012, 50.1)
+    grid, w, h = crs.suggested_grid("EPSG:4326", target_crs, 7, 9, (5.0, 50.1 - 9 * 0.012, 5.07, 50.1))
+    target = (grid[0] * 0.7, 0.0, grid[2] + 2.3 * grid[0], 0.0, grid[4] * 0.7, grid[5] + 1.7 * grid[0])
+    height, width = 2 * h, w
+    pixels = spark.createDataFrame([(k, y, x, float(image[y, x, k])) for k in range(2) for y in range(9) for x in range(7)], "band int, py int, px int, value double")
+    cells = reproject.target_cells(spark, height, width)
+    row, col = reproject.source_position(target, source, target_crs, "EPSG:4326")
+    for smooth, how in ((True, reproject.bilinear), (False, reproject.nearest)):
+        want = {(r["band"], r["row"], r["col"]): r["value"] for r in how(pixels, cells, row, col, ("band",)).collect()}
+        got = {}
+        for j, i, v in reproject.onto(image, source, target, height, width, "EPSG:4326", target_crs, smooth):
+            got |= {(k, int(a), int(b)): v[n, k] for n, (a, b) in enumerate(zip(j, i)) for k in range(2)}
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tiles_beyond_the_target(monkeypatch):
+    image, source = np.ones((4, 4, 1)), (0.1, 0.0, 5.0, 0.0, -0.1, 50.0)
+    assert list(reproject.onto(image, source, (0.1, 0.0, 60.0, 0.0, -0.1, 50.0), 10, 10, "EPSG:4326", "EPSG:4326")) == []
+    monkeypatch.setattr(reproject, "BLOCK", 3)
+    parts = list(reproject.onto(image, source, source, 4, 4, "EPSG:4326", "EPSG:4326"))
+    assert len(parts) == 4 and sum(len(v) for _, _, v in parts) == 16
