@@ -11,7 +11,7 @@ from terrapane.engine import Engine
 from terrapane.operators import catalog, registry
 from terrapane.serve import server
 from terrapane.session import session
-from terrapane.sources import vector
+from terrapane.sources import files, vector
 
 
 def parser() -> argparse.ArgumentParser:
@@ -83,10 +83,14 @@ def main(argv: list[str] | None = None) -> int:
         else:
             engine.region_mosaic(tuple(vector.total_bounds(vector.read(spark, a.topojson)).first()), a.output, a.target_crs, a.bands, not a.no_normalize, a.year)
     elif a.command == "serve":
+        if not (a.tiles_output or spark.sparkContext.master.startswith("local")):
+            p.error("--tiles-output is needed off a local master: a folder that all executors and this machine see")
         with tempfile.TemporaryDirectory() as temp:
-            tiles = a.tiles_output or f"{temp}/tiles"
-            engine.region_mosaic(tuple(vector.total_bounds(vector.read(spark, a.geojson)).first()), f"{temp}/mosaic.tiff", "EPSG:4326", a.bands, True, a.year)
-            engine.web_tiles(f"{temp}/mosaic.tiff", tiles, overwrite=False)
+            tiles = files.qualified(spark, a.tiles_output or f"file://{temp}/tiles")
+            image = f"{tiles}/mosaic.tiff"
+            if not engine.has_tiles(tiles):
+                engine.region_mosaic(tuple(vector.total_bounds(vector.read(spark, a.geojson)).first()), image, "EPSG:4326", a.bands, True, a.year)
+                engine.web_tiles(image, tiles)
             with server(vector.read_raw(spark, a.geojson), tiles, a.port) as http:
                 if a.open:
                     webbrowser.open(f"http://127.0.0.1:{a.port}/")

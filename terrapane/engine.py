@@ -170,11 +170,15 @@ class Engine:
     def web_tiles(self, image: str, out: str, zooms: Sequence[int] = range(1, 16), overwrite: bool = True) -> int:
         """The z/x/y pyramid of an RGB GeoTIFF; existing tiles are kept unless ``overwrite``."""
         head = geotiff.read_meta(self.spark, image).first()
-        a, _, c, _, e, f = head["transform"]
-        lon, lat = systems.inverse(head["crs"] or "EPSG:4326")((F.col("px") + 0.5) * a + c, (F.col("py") + 0.5) * e + f)
-        cells = geotiff.read_pixels(self.spark, image).select("band", "py", "px", F.col("value").alias("u8"), lon.alias("lon"), lat.alias("lat"))
-        made = mosaic.pyramid(cells.drop("py", "px"), F.col("lon"), F.col("lat"), list(zooms))
+        cells = geotiff.read_pixels(self.spark, image).select("band", "py", "px", F.col("value").alias("u8"))
+        made = mosaic.pyramid(cells, head["transform"], head["height"], head["width"], head["crs"] or "EPSG:4326", list(zooms))
         return png.write_tiles(png.tiles(made, list(range(head["bands"]))), out, overwrite)
 
+    def has_tiles(self, folder: str) -> bool:
+        """Whether a folder is there and has zoom folders."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
+
     def coverage_map(self, out: str) -> None:
         geotiff.put(self.spark, out, png.coverage_map(catalog.coverage(self.catalog())))

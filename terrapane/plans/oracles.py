@@ -107,4 +107,16 @@ for _whole, _part in {"q30b_reproject_nearest_whole": "q30_reproject_nearest", "
     _RAW[_whole] = (["v_grid_whole"], _RAW[_part][1].replace(_DST, _DST_WHOLE).replace("v_grid g", "v_grid_whole g"))
 _RAW["q39b_xyz_pyramid_whole"] = (["v_tiles"], _RAW["q39_xyz_pyramid"][1].replace("range(1, 9)", "range(1, 16)"))
 
+_WORLD = "(2 * pi() * 6378137.0::double)"
+_RAW["q39c_pyramid_pixels"] = (["v_grid_whole"], f"""SELECT z::int AS z, (gx // 256)::int AS x, (gy // 256)::int AS y, 0 AS band, (gy % 256)::int AS py, (gx % 256)::int AS px, value FROM (
+SELECT z, floor((6378137.0 * radians((px + 0.5::double) * 0.0005 + 5.003) / {_WORLD} + 0.5) * 256 * pow(2, z))::bigint AS gx, floor((0.5 - 6378137.0 * asinh(tan(radians((py + 0.5::double) * -0.0005 + 50.0))) / {_WORLD}) * 256 * pow(2, z))::bigint AS gy, sum(floor(value * 100))::double / count(*) AS value
+FROM v_grid_whole, (VALUES (8), (10)) a(z) GROUP BY ALL
+UNION ALL
+SELECT z, gx, gy, floor(value * 100)::double FROM (
+  SELECT z, gx, gy, floor((degrees(((gx + 0.5::double) / s - 0.5) * 2 * pi()) - 5.003) / 0.0005) AS i, floor((50.0 - degrees(atan(sinh((0.5 - (gy + 0.5::double) / s) * 2 * pi())))) / 0.0005) AS j
+  FROM (SELECT z, s, gx, unnest(range(floor((0.5 - asinh(tan(radians(50.0::double))) / 2 / pi()) * s)::bigint, floor((0.5 - asinh(tan(radians(50.0 - 0.0005::double * h))) / 2 / pi()) * s)::bigint + 1)) AS gy
+        FROM (SELECT z, s, h, unnest(range(floor((5.003::double / 360 + 0.5) * s)::bigint, floor((5.013::double / 360 + 0.5) * s)::bigint + 1)) AS gx
+              FROM (SELECT z, 256 * pow(2, z) AS s, (SELECT max(py) + 1 FROM v_grid_whole) AS h FROM (VALUES (12), (13)) b(z)))))
+JOIN v_grid_whole g ON g.px = i AND g.py = j)""")
+
 ORACLE = {name: _with(*parts) for name, parts in _RAW.items()}

@@ -237,6 +237,13 @@ def q39b_xyz_pyramid_whole(s: SparkSession, d: str) -> DataFrame:
     return mosaic.pyramid_counts(v.tiles(s, d), range(1, 16))
 
 
+def q39c_pyramid_pixels(s: SparkSession, d: str) -> DataFrame:
+    """Pixels of a raster of all rows at four zooms: two of means, two of pixels smaller than the raster's own."""
+    cells = v.raster_whole(s, d).select(F.lit(0).alias("band"), "py", "px", F.floor(F.col("value") * 100).alias("u8"))
+    height = (cells.agg(F.max("py")).first()[0] or 0) + 1
+    return mosaic.pyramid(cells, (0.0005, 0.0, 5.003, 0.0, -0.0005, 50.0), height, 20, "EPSG:4326", [8, 10, 12, 13])
+
+
 def q40_list_limit(s: SparkSession, d: str) -> DataFrame:
     return catalog.listed(v.tiles(s, d), 10)
 

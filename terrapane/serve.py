@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from terrapane.sources import files
+
 TILE = re.compile(r"/tiles/([0-9]{1,2})/([0-9]{1,9})/([0-9]{1,9})\.(png|jpe?g)")
 KINDS = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
 MAX_ZOOM = 15
@@ -15,13 +16,16 @@ PAGE = """<!DOCTYPE html>
 <html><head><meta charset="utf-8"><title>Embedding tiles</title>
 <link rel="stylesheet" href="https://unpkg.com/leaflet@1.9.4/dist/leaflet.css">
 <script src="https://unpkg.com/leaflet@1.9.4/dist/leaflet.js"></script>
-<style>html, body, #map {{ height: 100%; margin: 0 }}</style></head>
-<body><div id="map"></div><script>
+<style>html, body, #map {{ height: 100%; margin: 0 }} #bar {{ position: fixed; bottom: 1em; left: 1em; z-index: 1000; background: white; padding: 0.5em }}</style></head>
+<body><div id="map"></div><label id="bar">Opacity <input id="opacity" type="range" min="0" max="100" value="70"></label><script>
 const map = L.map("map").fitBounds({bounds});
-L.tileLayer("https://tile.openstreetmap.org/{{z}}/{{x}}/{{y}}.png", {{attribution: "OpenStreetMap"}}).addTo(map);
-L.tileLayer("/tiles/{{z}}/{{x}}/{{y}}.png", {{opacity: 0.7, maxNativeZoom: {zoom}}}).addTo(map);
+const ground = L.tileLayer("https://tile.openstreetmap.org/{{z}}/{{x}}/{{y}}.png", {{attribution: "OpenStreetMap"}}).addTo(map);
+const image = L.tileLayer("/tiles/{{z}}/{{x}}/{{y}}.png", {{opacity: 0.7, maxNativeZoom: {zoom}}}).addTo(map);
+const shapes = L.layerGroup().addTo(map);
+L.control.layers({{"Map": ground}}, {{"Embeddings": image, "Regions": shapes}}).addTo(map);
+document.getElementById("opacity").addEventListener("input", e => image.setOpacity(e.target.value / 100));
 const rows = p => Object.entries(p || {{}}).map(([k, v]) => {{ const d = document.createElement("div"); d.textContent = k + ": " + v; return d.outerHTML; }}).join("");
-fetch("/geojson").then(r => r.json()).then(g => L.geoJSON(g, {{onEachFeature: (f, l) => l.bindPopup(rows(f.properties))}}).addTo(map));
+fetch("/geojson").then(r => r.json()).then(g => L.geoJSON(g, {{onEachFeature: (f, l) => l.bindPopup(rows(f.properties))}}).addTo(shapes));
 </script></body></html>"""
 
 
@@ -69,7 +73,7 @@ def handler(geojson: dict, tiles: str) -> type[BaseHTTPRequestHandler]:
             elif m := TILE.fullmatch(path):
                 # numbers alone reach the file system
                 try:
-                    with open(os.path.join(tiles, m[1], m[2], f"{m[3]}.{m[4]}"), "rb") as f:
+                    with files.opened(f"{tiles}/{m[1]}/{m[2]}/{m[3]}.{m[4]}") as f:
                         self.answer(200, KINDS[m[4]], f.read(), Cache_Control="max-age=86400")
                 except FileNotFoundError:
                     self.answer(404, "text/plain", b"no such tile")

@@ -9,25 +9,65 @@ storage paths are known (``pyarrow.fs``).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 PIECE = 4 << 20  # bytes read at once
 
 
-def opened(path: str) -> pa.NativeFile:
-    """A file to read by its path, with or without a scheme."""
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, with or without a scheme, and the file's name in it."""
     scheme, colon, rest = path.partition(":")
     if not colon or "/" in scheme:
-        return fs.LocalFileSystem().open_input_file(path)
+        return fs.LocalFileSystem(), path
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
     host, _, name = rest.removeprefix("//").partition("/")
-    store, top = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{host}/")
-    return store.open_input_file(f"{top.rstrip('/')}/{name}")
+    system, top = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{host}/")
+    return system, f"{top.rstrip('/')}/{name}"
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file to read."""
+    system, name = store(path)
+    return system.open_input_file(name)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host that Spark takes it to have, so that tasks and the driver mean the same file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def written(rows: DataFrame, out: str, name: str = "name", data: str = "data") -> DataFrame:
+    """Write each row's bytes to ``{out}/{name}`` within tasks; one row, ``n``, for each batch.
+
+    A file is written beside its place and moved there, so a task that is run
+    again, or twice at once, leaves whole files alone.
+    """
+    base = qualified(rows.sparkSession, out).rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = store(base)
+        folders = set()
+        for b in batches:
+            for n, content in zip(b.column(name), b.column(data)):
+                path = f"{top}/{n.as_py()}"
+                folder = path.rsplit("/", 1)[0]
+                if folder not in folders:
+                    system.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
+                    f.write(content.as_buffer())
+                system.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rows.select(name, data).mapInArrow(run, "n long")
 
 
 def sha256(path: str) -> str:

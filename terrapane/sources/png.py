@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.sources.geotiff import put
+from terrapane.sources import files
 
 
-def encode(a: np.ndarray) -> bytes:
-    """8-bit grey (h, w), RGB (h, w, 3) or RGBA (h, w, 4)."""
+def encode(a: np.ndarray, notes: dict[str, str] | None = None) -> bytes:
+    """8-bit grey (h, w), RGB (h, w, 3) or RGBA (h, w, 4), with text fields (Latin-1)."""
     a = a if a.ndim == 3 else a[:, :, None]
     h, w, n = a.shape
     raw = np.zeros((h, 1 + w * n), np.uint8)
@@ -24,7 +25,8 @@ def encode(a: np.ndarray) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
+    texts = b"".join(chunk(b"tEXt", k.encode("latin1") + b"\0" + v.encode("latin1")) for k, v in (notes or {}).items())
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + texts + chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -66,25 +68,28 @@ def tiles(pyramid: DataFrame, bands: list[int], size: int = 256) -> DataFrame:
 
 
 def write_tiles(made: DataFrame, out: str, overwrite: bool = True) -> int:
-    """``{out}/{z}/{x}/{y}.png``; the driver takes one tile at a time.  Returns how many."""
-    spark, n = made.sparkSession, 0
+    """``{out}/{z}/{x}/{y}.png``, written by the tasks that draw them.  Returns how many."""
+    spark = made.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not overwrite and fs.exists(p) and fs.listStatus(p):
         return 0
-    for r in made.toLocalIterator():
-        put(spark, f"{out}/{r['z']}/{r['x']}/{r['y']}.png", bytes(r["png"]))
-        n += 1
-    return n
+    name = F.concat(F.concat_ws("/", *(F.col(c).cast("string") for c in ("z", "x", "y"))), F.lit(".png"))
+    return files.written(made.select(name.alias("name"), F.col("png").alias("data")), out).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def coverage_map(points: DataFrame, width: int = 1440, height: int = 720) -> bytes:
-    """A world map of tile counts: binned and summed by Spark, at most a row for each map pixel."""
+    """A world map of tile counts: binned and summed by Spark, at most a row for each map pixel.
+
+    The places' number and the time in UTC are the file's title and creation time.
+    """
     x = F.least(F.lit(width - 1), F.floor((F.col("lon_c") + 18000) * width / 36000)).cast("int")
     y = F.least(F.lit(height - 1), F.floor((9000 - F.col("lat_c")) * height / 18000)).cast("int")
     bins = points.groupBy(x.alias("x"), y.alias("y")).agg(F.count(F.lit(1)).alias("n")).where((F.col("x") >= 0) & (F.col("y") >= 0))
     a = np.full((height, width, 3), 245, np.uint8)
     a[height // 2, :] = a[:, width // 2] = 215
+    places = 0
     for r in bins.toLocalIterator():
         a[r["y"], r["x"]] = (200, max(0, 120 - 20 * r["n"]), 40)
-    return encode(a)
+        places += r["n"]
+    return encode(a, {"Title": f"Coverage: {places:,} places", "Creation Time": f"{datetime.now(UTC):%Y-%m-%d %H:%M:%S} UTC"})

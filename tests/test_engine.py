@@ -204,6 +204,8 @@ def test_web_tiles_and_server(spark, root, region, tmp_path):
     assert png.decode((tmp_path / "tiles" / made[0]).read_bytes()).shape == (256, 256, 4)
     e.coverage_map(f"{tmp_path}/map.png")
     assert (png.decode((tmp_path / "map.png").read_bytes())[:, :, [0, 2]] == (200, 40)).all(2).any()
+    data = (tmp_path / "map.png").read_bytes()
+    assert b"Title\0Coverage: 3 places" in data and b" UTC" in data
     doc = json.loads(region.read_text())
     with server(doc, f"{tmp_path}/tiles", 0) as http:
         threading.Thread(target=http.serve_forever, daemon=True).start()
@@ -231,3 +233,21 @@ def test_streamed_registry(spark, root, tmp_path):
     go()
     got = {r["path"]: r["hash"] for r in ingest.current(spark, f"{tmp_path}/table").collect()}
     assert len(got) == 12 and all(h == hashlib.sha256((inbox / p).read_bytes()).hexdigest() for p, h in got.items())
+
+
+def test_streamed_registry_compacts(spark, tmp_path, monkeypatch):
+    """Later contents win over earlier ones, across versions; merged folders go."""
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+    inbox, table = tmp_path / "in", f"{tmp_path}/table"
+    inbox.mkdir()
+    for n in range(6):
+        (inbox / f"f{n}.npy").write_bytes(bytes([n]))
+        ingest.keep_registry(spark, str(inbox), table, f"{tmp_path}/cp").awaitTermination()
+    got = {r["path"]: r["hash"] for r in ingest.current(spark, table).collect()}
+    assert got == {f"f{n}.npy": hashlib.sha256(bytes([n])).hexdigest() for n in range(6)}
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["c4", "c5", "v3", "v5"]
+    assert ingest.current(spark, table, 5).count() == 5
+    (tmp_path / "table/v5/_SUCCESS").unlink()  # an unfinished version counts for nothing
+    assert ingest.current(spark, table).count() == 6
+    spark.createDataFrame([("f0.npy", "x")], "path string, hash string").write.parquet(f"{table}/c6")
+    assert ingest.current(spark, table).where("path = 'f0.npy'").first()["hash"] == "x"
