@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,3 +138,26 @@ def onto(image: np.ndarray, source: Transform, target: Transform, height: int, w
         if inside.any():
             row, col = row[inside], col[inside]
             yield j[inside], i[inside], _bilinear(image, row, col) if smooth else image[row.astype(np.int64), col.astype(np.int64)]
+
+
+def rows_onto(pixels: DataFrame, target: Transform, height: int, width: int, source_crs: str, target_crs: str, bands: int, smooth: bool = True) -> DataFrame:
+    """tile, band, row, col and value of tiles that are rows, each resampled by ``onto`` in a task of its own.
+
+    ``pixels`` has tile (long), py, px, values (array<double>, ``bands`` of them)
+    and the tile's a, c, e, f (a north-up transform).  A group is one tile, so
+    memory follows a tile's size.  Pixels without a row are zero, which is no data.
+    """
+
+    def one(t: pa.Table) -> pa.Table:
+        y, x = t.column("py").to_numpy(), t.column("px").to_numpy()
+        image = np.zeros((y.max() + 1, x.max() + 1, bands))
+        image[y, x] = np.stack(t.column("values").to_numpy())
+        a, c, e, f = (t.column(k)[0].as_py() for k in "acef")
+        parts = list(onto(image, (a, 0.0, c, 0.0, e, f), target, height, width, source_crs, target_crs, smooth))
+        row, col = (np.concatenate([p[k] for p in parts] or [np.empty(0)]).astype(np.int32) for k in (0, 1))
+        value = np.concatenate([p[2] for p in parts] or [np.empty((0, bands))])
+        n = row.size
+        cols = [np.full(n * bands, t.column("tile")[0].as_py(), np.int64), np.repeat(np.arange(bands, dtype=np.int32), n), np.tile(row, bands), np.tile(col, bands), value.T.reshape(-1).astype(np.float64)]
+        return pa.table([pa.array(v) for v in cols], names=["tile", "band", "row", "col", "value"])
+
+    return pixels.select("tile", "py", "px", "values", *"acef").groupBy("tile").applyInArrow(one, "tile long, band int, row int, col int, value double")

@@ -107,6 +107,18 @@ for _whole, _part in {"q30b_reproject_nearest_whole": "q30_reproject_nearest", "
     _RAW[_whole] = (["v_grid_whole"], _RAW[_part][1].replace(_DST, _DST_WHOLE).replace("v_grid g", "v_grid_whole g"))
 _RAW["q39b_xyz_pyramid_whole"] = (["v_tiles"], _RAW["q39_xyz_pyramid"][1].replace("range(1, 9)", "range(1, 16)"))
 
+_RAW["q38b_region_resampled"] = ([], """SELECT band, row, col, round(coalesce(arg_min(value, tile) FILTER (WHERE value <> 0), 0), 4) + 0.0 AS value FROM (
+SELECT tile, band, row, col, sum(w * v) / sum(w) AS value FROM (
+  SELECT t.tile, b::int AS band, row, col, wy * wx AS w, e.embedding[b + 1]::double AS v, (vec_id // 20) % 10 = floor(y) AND vec_id % 20 = floor(x) AS own
+  FROM (SELECT *, CASE dy WHEN 1 THEN round(y - 0.5, 9) - floor(round(y - 0.5, 9)) ELSE 1 - (round(y - 0.5, 9) - floor(round(y - 0.5, 9))) END AS wy, CASE dx WHEN 1 THEN round(x - 0.5, 9) - floor(round(x - 0.5, 9)) ELSE 1 - (round(x - 0.5, 9) - floor(round(x - 0.5, 9))) END AS wx,
+          floor(round(y - 0.5, 9)) + dy AS ny, floor(round(x - 0.5, 9)) + dx AS nx
+        FROM (SELECT tile, row, col, (50.0::double - 0.0008::double * tile - lat) / 0.0001::double AS y, (lon - 5.0::double) / 0.0001::double AS x
+              FROM (SELECT i::int AS row, j::int AS col, degrees(atan(sinh((6446285.0::double - (i + 0.5::double) * 9) / 6378137.0::double))) AS lat, degrees((556590.0::double + (j + 0.5::double) * 9) / 6378137.0::double) AS lon
+                    FROM (SELECT unnest(range((SELECT 16 * (max(vec_id) // 200 + 1) + 10 FROM embeddings))) AS i), range(27) c(j)),
+                   (SELECT DISTINCT vec_id // 200 AS tile FROM embeddings)), (VALUES (0), (1)) p(dy), (VALUES (0), (1)) q(dx)
+        WHERE y >= 0 AND y < 10 AND x >= 0 AND x < 20) t
+  JOIN embeddings e ON e.vec_id // 200 = t.tile AND (e.vec_id // 20) % 10 = ny AND e.vec_id % 20 = nx, range(3) r(b))
+GROUP BY tile, band, row, col HAVING bool_or(own)) GROUP BY band, row, col""")
 _WORLD = "(2 * pi() * 6378137.0::double)"
 _RAW["q39c_pyramid_pixels"] = (["v_grid_whole"], f"""SELECT z::int AS z, (gx // 256)::int AS x, (gy // 256)::int AS y, 0 AS band, (gy % 256)::int AS py, (gx % 256)::int AS px, value FROM (
 SELECT z, floor((6378137.0 * radians((px + 0.5::double) * 0.0005 + 5.003) / {_WORLD} + 0.5) * 256 * pow(2, z))::bigint AS gx, floor((0.5 - 6378137.0 * asinh(tan(radians((py + 0.5::double) * -0.0005 + 50.0))) / {_WORLD}) * 256 * pow(2, z))::bigint AS gy, sum(floor(value * 100))::double / count(*) AS value

@@ -228,6 +228,14 @@ def q38_region_mosaic(s: SparkSession, d: str) -> DataFrame:
     return mosaic.region_mosaic(v.pixels(s, d), chosen, same, BANDS, row, col, F.col("tile") * 1_000_000 + F.col("pix"))
 
 
+def q38b_region_resampled(s: SparkSession, d: str) -> DataFrame:
+    """All tiles resampled from degrees to the web map's metres, bilinearly; the first nonzero value where they overlap."""
+    tiles = v.strips(s, d)
+    height = 16 * ((tiles.agg(F.max("tile")).first()[0] or 0) + 1) + 10
+    cells = reproject.rows_onto(tiles, (9.0, 0.0, 556590.0, 0.0, -9.0, 6446285.0), height, 27, "EPSG:4326", "EPSG:3857", 3)
+    return mosaic.first_wins(cells, "tile").withColumn("value", F.round("value", 4))
+
+
 def q39_xyz_pyramid(s: SparkSession, d: str) -> DataFrame:
     return mosaic.pyramid_counts(v.tiles(s, d), range(1, 9))
 

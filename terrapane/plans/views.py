@@ -87,3 +87,10 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster 20 pixels wide of all rows: py, px, value."""
     return _t(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id div 20 as int)").alias("py"), F.expr("cast(vec_id % 20 as int)").alias("px"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
+
+
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 10 x 20 pixels that overlap by two rows, going south from 50 degrees: tile, py, px, values (three bands), a, c, e, f."""
+    values = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    at = {"a": F.lit(0.0001), "c": F.lit(5.0), "e": F.lit(-0.0001), "f": F.lit(50.0) - F.lit(0.0008) * F.col("tile")}
+    return _t(spark, sf_dir, "embeddings").select(F.expr("vec_id div 200").alias("tile"), F.expr("cast(vec_id div 20 % 10 as int)").alias("py"), F.expr("cast(vec_id % 20 as int)").alias("px"), values.alias("values")).withColumns(at)
