@@ -305,7 +305,7 @@ def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def sampled(docs: DataFrame, vocabulary: str | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and lossless: encoded and decoded again in one pass."""
+    """doc_id, ids, n_pieces, ids_crc32 and lossless of every row: encoded and decoded again in one pass."""
     path = _vocabulary(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +313,14 @@ def sampled(docs: DataFrame, vocabulary: str | None = None, temperature: float =
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                ids = codec.encode(texts, [k or "" for k in b.column("k").to_pylist()])
+                texts = b.column("text").to_pylist()
+                ids = codec.encode([t or "" for t in texts], [k or "" for k in b.column("k").to_pylist()])
                 n, crc = [len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                same = [codec.decode(x.tolist()) == t for x, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
+                ids = [None if t is None else i for t, i in zip(texts, ids)]
+                same = [(None if x is None else codec.decode(x.tolist())) == t for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_pieces", "ids_crc32", "lossless"])
 
-    return docs.select("doc_id", "text", F.col("doc_id").cast("string").alias("k")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, lossless boolean")
+    return docs.select("doc_id", "text", F.col("doc_id").cast("string").alias("k")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def with_pieces(docs: DataFrame, vocabulary: str | None = None, temperature: float = TEMPERATURE) -> DataFrame:

@@ -763,6 +763,18 @@ def test_pieces(spark, tmp_path, sf):
     assert sorted(map(key, ids.collect())) == sorted(map(key, again.collect()))
 
 
+def test_sampled_pieces_are_returned(spark):
+    """The query's operator returns the segmentations themselves, and its digests are theirs."""
+    d = docs(spark)
+    got = {r["doc_id"]: r for r in pieces.sampled(d).collect()}
+    assert {i: r["ids"] for i, r in got.items()} == {r["doc_id"]: r["ids"] for r in pieces.encoded(d).collect()}
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.sampled(d)).collect()}
+    assert back == {i: t for i, t, _, _ in TEXTS}
+    for r in got.values():
+        ids = r["ids"] or []
+        assert r["lossless"] and r["n_pieces"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_sampling_follows_the_lattice(monkeypatch):
     """Shares of all segmentations of a word against its enumerated paths."""
     c = pieces.Codec(public_tokenizers.path(pieces.VOCABULARY), 4.0)
