@@ -14,9 +14,9 @@ there are under ``LEAST`` examples takes the threshold of the next shorter one.
 
 The fit takes at most ``train_rows`` labelled rows (one a language if there are
 more languages), picked by a hash over all of them and evenly over the languages,
-repeated rows once; their vectors (not texts) come to the driver, DIMS x 4 bytes
-each.  The model, a few hundred kB, is
-broadcast.  Prediction is one pass in Arrow batches with no shuffle; a text is
+repeated rows once; their vectors (not texts) come to the driver, 6 bytes for each
+different gram, and are spread out (DIMS x 4 bytes) for one language at a time.
+The model, a few hundred kB, is broadcast.  Prediction is one pass in Arrow batches with no shuffle; a text is
 counted in pieces, so memory doesn't follow the longest one.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts,
@@ -118,6 +118,16 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(lang, has)], score, ~has | (score < self.least[lang, lengths((x > 0).sum(1))])
 
 
+def _spread(places: list[np.ndarray], values: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF vectors from the places and log counts of each text, with no second array of that size."""
+    x = np.zeros((len(places), DIMS), np.float32)
+    for row, place, value in zip(x, places, values):
+        row[place] = value
+    for at in range(0, len(x), 256):
+        x[at : at + 256] = normalised(x[at : at + 256] * idf)
+    return x
+
+
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; seeds are the texts farthest from those before, so no chance is involved."""
     k = min(k, len(x))
@@ -150,21 +160,23 @@ def fit(docs: DataFrame, train_rows: int = 4000, centroids: int = 4, reject_quan
         for b in batches:
             x, has = log_counts(b.column("text").to_pylist())
             rows = np.nonzero(has)[0]
-            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(rows)), pa.array([x[r].tobytes() for r in rows], pa.binary()), b.column("h").take(pa.array(rows))], names=["lang", "x", "h"])
+            places = [np.nonzero(x[r])[0].astype("<u2") for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(rows)), pa.array([p.tobytes() for p in places], pa.binary()), pa.array([x[r, p].tobytes() for r, p in zip(rows, places)], pa.binary()), b.column("h").take(pa.array(rows))], names=["lang", "places", "values", "h"])
 
     picked = labelled.select("lang", "text", hashed.alias("h")).where(F.col("h") < cut).dropDuplicates(["lang", "h"])
-    rows = picked.mapInArrow(vectors, "lang string, x binary, h long").collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"]))
-    model = Model(sorted({r["lang"] for r in rows}))
-    if not rows:
+    # Arrow batches, as rows would be unpacked in the JVM and pickled on their way
+    found = picked.mapInArrow(vectors, "lang string, places binary, values binary, h long").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    lang = np.array(found.column("lang").to_pylist(), object)
+    model = Model(sorted(set(lang)))
+    if not len(lang):
         return model
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    y = np.array([model.languages.index(r["lang"]) for r in rows])
-    model.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = normalised(x * model.idf)
+    places, values = ([np.frombuffer(v, kind) for v in found.column(c).to_pylist()] for c, kind in (("places", "<u2"), ("values", "<f4")))
+    del found
+    model.idf = (np.log((1 + len(lang)) / (1 + np.bincount(np.concatenate(places), minlength=DIMS))) + 1).astype(np.float32)
     parts, owner = [], []
-    for k in range(len(model.languages)):
-        c = _clusters(x[y == k], centroids)
+    for k, name in enumerate(model.languages):
+        mine = np.nonzero(lang == name)[0]
+        c = _clusters(_spread([places[r] for r in mine], [values[r] for r in mine], model.idf), centroids)
         parts.append(c)
         owner += [k] * len(c)
     model.centroids, model.owner = np.concatenate(parts).astype(np.float32), np.array(owner)

@@ -532,9 +532,11 @@ def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     before any is dealt out.
     """
     wanted = nodes.select("node", F.col("first.h").alias("h"))
-    bits = np.zeros(1 << 25, bool)
-    bits[wanted.select(F.pmod("h", F.lit(len(bits))).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    n_bits = 1 << 25
+    bits = np.zeros(n_bits // 8, np.uint8)
+    at = wanted.select(F.pmod("h", F.lit(n_bits)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    packed = docs.sparkSession.sparkContext.broadcast(bits)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
